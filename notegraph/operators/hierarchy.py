@@ -8,7 +8,7 @@ after all rounds lies on a loop or below one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import Stored
@@ -34,15 +34,19 @@ def _rounds(step: DataFrame, advance, max_rounds: int = 64) -> DataFrame:
     """Applies ``advance`` to the stored table until the number of rows with an ``up`` stays the same.
 
     Equal numbers mean that no node is between 2^k and 2^(k+1) levels deep, so none is deeper either
-    but those without an end.
+    but those without an end. The rows are counted while they're written.
     """
-    now = Stored(step, "round")
-    open_rows = now.df.where("up is not null").count()
+
+    def store(df: DataFrame) -> tuple[Stored, int]:
+        seen = Observation()
+        table = Stored(df.observe(seen, F.count(F.when(F.col("up").isNotNull(), 1)).alias("open")), "round")
+        return table, seen.get["open"]
+
+    now, open_rows = store(step)
     for _ in range(max_rounds):
         if not open_rows:
             break
-        later = Stored(advance(now.df), "round")
-        left = later.df.where("up is not null").count()
+        later, left = store(advance(now.df))
         now.drop()
         now = later
         if left == open_rows:
@@ -51,39 +55,24 @@ def _rounds(step: DataFrame, advance, max_rounds: int = 64) -> DataFrame:
     return now.df
 
 
-def roots_and_depths(links: DataFrame) -> DataFrame:
-    """id, root, depth of each node of ``links`` (id, parent); root null for what never ends.
+def climb(links: DataFrame) -> DataFrame:
+    """id, parent, root, depth, size of each node of ``links`` (id, parent); root null for what never ends.
 
-    ``up`` is the ancestor 2^k levels up, ``end`` the topmost one once it's within reach.
-    """
-    first = links.select("id", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"))
-
-    def advance(t: DataFrame) -> DataFrame:
-        # only nodes that are still climbing are joined; hot ancestors are read from the broadcastable or split side by AQE
-        climbing, arrived = t.where("up is not null"), t.where("up is null")
-        above = t.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        moved = climbing.join(above, "up", "left").select("id", "parent", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"))
-        return arrived.select("id", "parent", "up", "root", "depth").unionByName(moved)
-
-    return _rounds(first, advance).select("id", "parent", F.when(F.col("up").isNull(), F.col("root")).alias("root"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
-
-
-def subtree_sizes(placed: DataFrame) -> DataFrame:
-    """id, size (itself and all descendants) of the nodes of ``placed`` (id, parent; no loops).
-
-    After round k ``size`` counts the nodes less than 2^k levels below; the nodes exactly 2^k levels below
-    hand up theirs, pre-aggregated within tasks, so a parent of millions costs no more than one row each.
+    After round k ``up`` is the ancestor 2^k levels up, ``depth`` the levels known so far, and ``size`` counts
+    the nodes less than 2^k levels below. The nodes exactly 2^k levels below hand up their sizes,
+    pre-aggregated within tasks, so that a parent of millions costs one row for each task.
     """
+    top = F.col("parent").isNull()
+    first = links.select("id", "parent", F.col("parent").alias("up"), F.when(top, F.col("id")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"))
 
     def advance(t: DataFrame) -> DataFrame:
         given = t.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
-        above = t.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-        moved = t.where("up is not null").join(above, "up", "left").select("id", F.col("up2").alias("up"), "size")
-        stayed = t.where("up is null").select("id", "up", "size")
-        return stayed.unionByName(moved).join(given, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        grown = t.join(given, "id", "left").select("id", "parent", "up", "root", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        above = t.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        moved = grown.where("up is not null").join(above, "up").select("id", "parent", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), "size")
+        return grown.where("up is null").unionByName(moved)
 
-    first = placed.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))
-    return _rounds(first, advance).select("id", "size")
+    return _rounds(first, advance).select("id", "parent", F.when(F.col("up").isNull(), F.col("root")).alias("root"), "depth", "size")
 
 
 def sibling_offsets(sized: DataFrame, buckets: int = 256) -> DataFrame:
@@ -132,11 +121,9 @@ def hierarchy(edges: DataFrame, with_path: bool = False) -> DataFrame:
     same root whose ``first`` lies within, its ancestors those whose range holds its ``first``. Nodes
     on a loop or below one have root ``(cycle)``, depth -1 and no size or range. An empty table gives no rows.
     """
-    ends = Stored(roots_and_depths(parent_links(edges)), "roots").df
+    ends = Stored(climb(parent_links(edges)), "roots").df
     trees = ends.where("root is not null")
-    sized = Stored(trees.select("id", "parent").join(subtree_sizes(trees), "id"), "sizes").df
-    ranged = preorder(sibling_offsets(sized))
-    out = trees.join(sized.select("id", "size"), "id").join(ranged, "id")
+    out = trees.join(preorder(sibling_offsets(trees.select("id", "parent", "size"))), "id")
     if with_path:
         out = out.join(paths(trees), "id")
     out = out.select("id", "parent", "root", "depth", "size", "first", (F.col("first") + F.col("size") - 1).alias("last"), *(["path"] if with_path else []))
