@@ -76,4 +76,4 @@ def occurrences(text: Column, part: str) -> Column:
 
 
 def humanised(stem: Column) -> Column:
-    return F.initcap(F.regexp_replace(stem, "[-_]+", " "))
+    return F.translate(stem, "-_", "  ")
