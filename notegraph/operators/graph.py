@@ -109,7 +109,9 @@ def cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         degree = ways.groupBy("relation", "id").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.max("next").alias("next"), F.max("prev").alias("prev"))
         coin = lambda c: F.pmod(F.xxhash64(F.lit(n), c), F.lit(2)) == 0
         chain = (F.col("out") == 1) & (F.col("into") == 1) & (F.col("next") != F.col("id")) & (F.col("prev") != F.col("id"))
-        kind = F.when(F.col("out") == 0, "sink").when(F.col("into") == 0, "source").when(chain & coin("id") & ~coin("next") & ~coin("prev"), "link")
+        # by turns, as an id handed to a node that goes in the same round would be lost
+        kind = F.when(F.col("out") == 0, "sink")
+        kind = kind.when(F.col("into") == 0, "source") if n % 2 else kind.when(chain & coin("id") & ~coin("next") & ~coin("prev"), "link")
         seen = Observation()
         gone_all = Stored(degree.withColumn("what", kind).observe(seen, F.count(F.when(F.col("what") == "sink", 1)).alias("sinks"), F.count(F.lit(1)).alias("nodes")), "gone")
         if not seen.get["nodes"] or not seen.get["sinks"]:
