@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -26,6 +26,10 @@ def check_glob(glob: str) -> str:
     return glob
 
 
+def _has(name: str) -> Column:
+    return F.exists("props", lambda p: p["name"] == name)
+
+
 def query_nodes(
     nodes: DataFrame,
     edges: DataFrame | None = None,
@@ -61,7 +65,7 @@ def query_nodes(
         tests.append(matches_any(F.col("path"), [check_glob(p) for p in unique(paths)]))
     if wanted_tags:
         tests.append(F.size(F.array_except(F.lit(wanted_tags), "tags")) == 0)
-    tests += [F.exists("props", lambda p, f=f: p["name"] == f) for f in unique(has_fields)]
+    tests += [_has(f) for f in unique(has_fields)]
     tests += [F.coalesce(prop(k, "value_loose") == loose(v), F.lit(False)) for k, v in properties]
     rows = nodes.where(reduce(lambda a, b: a & b, tests)) if tests else nodes
     if without_incoming:

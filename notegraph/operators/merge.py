@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import __version__
 from ..errors import MergeError
@@ -19,7 +20,7 @@ SIDES = ("base", "ours", "theirs")
 PLAN_SCHEMA = "notegraph.merge-plan/v1"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def items_of(values: pd.Series) -> pd.Series:
     """The items of JSON lists in canonical form; null for anything else."""
 

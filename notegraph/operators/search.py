@@ -153,7 +153,8 @@ def candidate_scores(postings: DataFrame, n_nodes: int, tokens: list[str], zones
 
 
 def candidates(postings: DataFrame, n_nodes: int, tokens: list[str], zones: list[dict] | tuple[dict, ...] = DEFAULT_ZONES, stemming: bool = True, most: int = CANDIDATES) -> DataFrame:
-    return candidate_scores(postings, n_nodes, tokens, zones, stemming).orderBy(F.col("candidate_score").desc(), "path").limit(most)
+    """The best ``most`` paths. Sums of doubles depend on their order in the last digits, which must not decide ties."""
+    return candidate_scores(postings, n_nodes, tokens, zones, stemming).orderBy(F.round("candidate_score", 9).desc(), "path").limit(most)
 
 
 def stem_counts(postings: DataFrame, tokens: list[str]) -> DataFrame:

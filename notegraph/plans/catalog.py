@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reference
 
 
 def queries() -> dict:
-    return {**problems.queries()}
+    return reference.queries() | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.oracle_sql()}
+    return reference.oracle_sql() | problems.oracle_sql()
