@@ -89,7 +89,7 @@ def _record(fields: dict, required: tuple[str, ...] = (), least: int = 0, extra=
     def check(v: Any, at: str) -> list[str]:
         if not isinstance(v, dict):
             return [f"{at} must be an object"]
-        out = [f"{at} is not allowed" for k in v if k not in fields for at in [f"{at}.{k}"]]
+        out = [f"{at}.{k} is not allowed" for k in v if k not in fields]
         out += [f"{at}.{k} is required" for k in required if k not in v]
         out += [p for k, rule in fields.items() if k in v for p in rule(v[k], f"{at}.{k}")]
         if len(v) < least:
