@@ -42,14 +42,14 @@ MEANINGLESS = frozenset("und unknown none null n/a na unk mul zxx mis xx auto ot
 CODE_OF = {name: code for code, names in LABELS.items() for name in names.split()}
 
 SEEDS = {
-    "en": "The weather was good this morning, so we went down to the river and had our breakfast there. She has been working in the same office for more than ten years. What would you like to know about it? They did not think that their children should go out with them after dark. Please write down which of these books you have already read.",
-    "de": "Das Wetter war heute morgen schön, deshalb sind wir zum Fluss gegangen und haben dort gefrühstückt. Sie arbeitet schon seit mehr als zehn Jahren im gleichen Büro. Was möchten Sie darüber wissen? Die Kinder sollten nach Einbruch der Dunkelheit nicht mehr allein auf die Straße gehen. Bitte schreiben Sie auf, welche von diesen Büchern Sie nicht gelesen haben.",
-    "nl": "Het weer was vanochtend mooi, dus zijn we naar de rivier gegaan en hebben daar ontbeten. Zij werkt al meer dan tien jaar op hetzelfde kantoor. Wat zou u daarover willen weten? De kinderen mochten na het donker niet meer alleen naar buiten gaan. Schrijf alstublieft op welke van deze boeken je nog niet hebt gelezen.",
-    "fr": "Il faisait beau ce matin, alors nous sommes descendus à la rivière et nous y avons pris le petit déjeuner. Elle travaille dans le même bureau depuis plus de dix ans. Que voulez-vous savoir à ce sujet ? Les enfants ne devaient pas sortir seuls après la tombée de la nuit. Écrivez s'il vous plaît lesquels de ces livres vous avez déjà lus.",
-    "es": "Hacía buen tiempo esta mañana, así que bajamos al río y desayunamos allí. Ella trabaja en la misma oficina desde hace más de diez años. ¿Qué le gustaría saber sobre eso? Los niños no debían salir solos después del anochecer. Por favor, escriba cuáles de estos libros ya ha leído y cuáles no quiere leer.",
-    "pt": "O tempo estava bom esta manhã, por isso descemos até ao rio e tomámos lá o pequeno-almoço. Ela trabalha no mesmo escritório há mais de dez anos. O que gostaria de saber sobre isso? As crianças não deviam sair sozinhas depois do anoitecer. Por favor, escreva quais destes livros já leu e quais não quer ler.",
-    "ru": "Сегодня утром была хорошая погода, поэтому мы спустились к реке и позавтракали там. Она работает в той же конторе уже больше десяти лет. Что бы вы хотели об этом узнать? Дети не должны были выходить одни после наступления темноты. Напишите, пожалуйста, какие из этих книг вы уже прочитали.",
-    "uk": "Сьогодні вранці була гарна погода, тому ми спустилися до річки й поснідали там. Вона працює в тій самій конторі вже понад десять років. Що б ви хотіли про це дізнатися? Діти не повинні були виходити самі після настання темряви. Напишіть, будь ласка, які з цих книжок ви вже прочитали.",
+    "en": "The weather was good this morning, so we went down to the river and had our breakfast there. She has been working in the same office for more than ten years. What would you like to know about it? They did not think that their children should go out with them after dark. Please write down which of these books you have already read. If it had rained yesterday, we would have stayed at home with our friends. Nobody knows why the train was late again this evening. There is always something new that you can learn from other people.",
+    "de": "Das Wetter war heute morgen schön, deshalb sind wir zum Fluss gegangen und haben dort gefrühstückt. Sie arbeitet schon seit mehr als zehn Jahren im gleichen Büro. Was möchten Sie darüber wissen? Die Kinder sollten nach Einbruch der Dunkelheit nicht mehr allein auf die Straße gehen. Bitte schreiben Sie auf, welche von diesen Büchern Sie nicht gelesen haben. Wenn es gestern geregnet hätte, wären wir mit unseren Freunden zu Hause geblieben. Niemand weiß, warum der Zug heute Abend wieder zu spät war. Man kann von anderen Menschen immer etwas Neues lernen, das hätte ich dir auch sagen können.",
+    "nl": "Het weer was vanochtend mooi, dus zijn we naar de rivier gegaan en hebben daar ontbeten. Zij werkt al meer dan tien jaar op hetzelfde kantoor. Wat zou u daarover willen weten? De kinderen mochten na het donker niet meer alleen naar buiten gaan. Schrijf alstublieft op welke van deze boeken je nog niet hebt gelezen. Als het gisteren had geregend, waren we met onze vrienden thuis gebleven. Niemand weet waarom de trein vanavond weer te laat was. Er is altijd iets nieuws dat je van andere mensen kunt leren.",
+    "fr": "Il faisait beau ce matin, alors nous sommes descendus à la rivière et nous y avons pris le petit déjeuner. Elle travaille dans le même bureau depuis plus de dix ans. Que voulez-vous savoir à ce sujet ? Les enfants ne devaient pas sortir seuls après la tombée de la nuit. Écrivez s'il vous plaît lesquels de ces livres vous avez déjà lus. S'il avait plu hier, nous serions restés à la maison avec nos amis. Personne ne sait pourquoi le train était encore en retard ce soir. Il y a toujours quelque chose de nouveau que l'on peut apprendre des autres.",
+    "es": "Hacía buen tiempo esta mañana, así que bajamos al río y desayunamos allí. Ella trabaja en la misma oficina desde hace más de diez años. ¿Qué le gustaría saber sobre eso? Los niños no debían salir solos después del anochecer. Por favor, escriba cuáles de estos libros ya ha leído y cuáles no quiere leer. Si hubiera llovido ayer, nos habríamos quedado en casa con nuestros amigos. Nadie sabe por qué el tren llegó tarde otra vez esta noche. Siempre hay algo nuevo que se puede aprender de los demás.",
+    "pt": "O tempo estava bom esta manhã, por isso descemos até ao rio e tomámos lá o pequeno-almoço. Ela trabalha no mesmo escritório há mais de dez anos. O que gostaria de saber sobre isso? As crianças não deviam sair sozinhas depois do anoitecer. Por favor, escreva quais destes livros já leu e quais não quer ler. Se tivesse chovido ontem, teríamos ficado em casa com os nossos amigos. Ninguém sabe por que o comboio chegou atrasado outra vez esta noite. Há sempre alguma coisa nova que se pode aprender com os outros.",
+    "ru": "Сегодня утром была хорошая погода, поэтому мы спустились к реке и позавтракали там. Она работает в той же конторе уже больше десяти лет. Что бы вы хотели об этом узнать? Дети не должны были выходить одни после наступления темноты. Напишите, пожалуйста, какие из этих книг вы уже прочитали. Если бы вчера шёл дождь, мы остались бы дома с нашими друзьями. Никто не знает, почему поезд сегодня вечером снова опоздал. Всегда есть что-то новое, чему можно научиться у других людей.",
+    "uk": "Сьогодні вранці була гарна погода, тому ми спустилися до річки й поснідали там. Вона працює в тій самій конторі вже понад десять років. Що б ви хотіли про це дізнатися? Діти не повинні були виходити самі після настання темряви. Напишіть, будь ласка, які з цих книжок ви вже прочитали. Якби вчора йшов дощ, ми залишилися б удома з нашими друзями. Ніхто не знає, чому поїзд сьогодні ввечері знову запізнився. Завжди є щось нове, чого можна навчитися в інших людей.",
 }
 
 
@@ -107,7 +107,7 @@ def text_blocks(body: str, min_words: int) -> list[tuple[int, str]]:
             text = TARGET.sub(" ", text)
         n = len(text.split())
         if n >= 3 * min_words or (n > 0 and len(WORDS.findall(text)) >= min_words):
-            out.append((n, text))
+            out.append((n, text.strip()))
     return out
 
 

@@ -75,7 +75,7 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray | None = None
     if seats <= 0:
         return np.zeros(len(w), np.int64)
     won = lambda d: np.minimum(np.floor(w / d + 0.5), most)
-    high, low = 2 * w.max() + 1e-300, 2 * w.max()
+    high, low = 4 * w.max(), 2 * w.max()
     while won(low).sum() < seats:
         low /= 2
     for _ in range(200):
