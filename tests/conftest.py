@@ -11,7 +11,10 @@ from notegraph.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, partitions=4, memory="3g")
+    session = local_session(8, partitions=2, memory="3g")
+    # tiny inputs: compiling code would take most of the time
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
 
 

@@ -55,7 +55,7 @@ def test_hierarchy(spark):
         for i in range(1, n):
             p = rng.randrange(i)
             edges.append((f"t{t}-{i}", f"t{t}-{p}", "parent", True, "x") if rng.random() < 0.5 else (f"t{t}-{p}", f"t{t}-{i}", "children", True, "x"))
-    edges += [(f"c{i}", f"c{i + 1}", "parent", True, None) for i in range(70)]
+    edges += [(f"c{i}", f"c{i + 1}", "parent", True, None) for i in range(40)]
     edges += [("l1", "l2", "parent", True, None), ("l2", "l1", "parent", True, None), ("below", "l1", "parent", True, None), ("self", "self", "parent", True, None)]
     edges += [(f"kid{i}", "hub", "parent", True, None) for i in range(300)] + [("hub", "kid1", "children", True, None)] * 3
     edges += [("u", "v", "parent", False, None), ("u", None, "parent", True, None), (None, "v", "children", True, None), ("u", "v", None, True, None), ("u", "v", "link", True, None), ("q", "z1", "parent", True, None), ("q", "a1", "parent", True, None)]
