@@ -82,6 +82,8 @@ def neighbors(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 1, d
     for level in range(1, depth + 1):
         got = steps.join(ring.withColumnRenamed("id", "at"), "at", "left_semi").join(seen, "id", "left_anti")
         ring_edges = got.groupBy("id").agg(F.array_sort(F.collect_set("edge")).alias("edges")).withColumn("distance", F.lit(level))
+        if level < depth:  # the next round reads it several times
+            ring_edges = Stored(ring_edges, "ring").df
         found = ring_edges if found is None else found.unionByName(ring_edges)
         ring = ring_edges.select("id")
         seen = seen.unionByName(ring)
@@ -94,37 +96,35 @@ def neighbors(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 1, d
 def cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """relation, id: for each relation with a loop the least node from which one can be reached.
 
-    ``edges`` has relation, source, target. Nodes without a way on are peeled off until every node has one. Links
-    of a chain are cut out along the way: a node with one way in and one way on hands its least id to the node
-    after it, so a chain shrinks to nothing in logarithmically many rounds. Nodes nothing points at hand on
-    their ids and go, too. Each round is a table in the shared folder; no group is gathered.
+    ``edges`` has relation, source, target. Nodes without a way on are peeled off until every node has one; nodes
+    nothing points at hand their least id on and go, too. A node with a single way on jumps over the next one if
+    that has a single way on as well, so chains and trees of any depth take logarithmically many rounds. Each round is
+    a table in the shared folder; no group is gathered.
     """
     step = edges.select("relation", "source", "target").where("source is not null and target is not null").distinct()
-    names = edges.select("relation", F.explode(F.array("source", "target")).alias("id")).distinct()
-    links = Stored(step, "links")
-    labels = Stored(names.select("relation", "id", F.col("id").alias("least")), "labels")
-    for n in range(max_rounds):
+    names = step.select("relation", F.explode(F.array("source", "target")).alias("id")).distinct()
+    links, labels = Stored(step, "links"), Stored(names.select("relation", "id", F.col("id").alias("least")), "labels")
+    for _ in range(max_rounds):
         e, lab = links.df, labels.df
-        ways = e.select("relation", F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.col("target").alias("next"), F.lit(None).cast("string").alias("prev")), F.struct(F.col("target").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(None).cast("string").alias("next"), F.col("source").alias("prev")))).alias("x")).select("relation", "x.*")
-        degree = ways.groupBy("relation", "id").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.max("next").alias("next"), F.max("prev").alias("prev"))
-        coin = lambda c: F.pmod(F.xxhash64(F.lit(n), c), F.lit(2)) == 0
-        chain = (F.col("out") == 1) & (F.col("into") == 1) & (F.col("next") != F.col("id")) & (F.col("prev") != F.col("id"))
-        # by turns, as an id handed to a node that goes in the same round would be lost
-        kind = F.when(F.col("out") == 0, "sink")
-        kind = kind.when(F.col("into") == 0, "source") if n % 2 else kind.when(chain & coin("id") & ~coin("next") & ~coin("prev"), "link")
+        out = F.struct(F.col("source").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.col("target").alias("next"))
+        into = F.struct(F.col("target").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(None).cast("string").alias("next"))
+        degree = e.select("relation", F.explode(F.array(out, into)).alias("x")).groupBy("relation", "x.id").agg(F.sum("x.out").alias("out"), F.sum("x.into").alias("into"), F.max("x.next").alias("next"))
+        goes = (F.col("out") == 0) | (F.col("into") == 0)
         seen = Observation()
-        gone_all = Stored(degree.withColumn("what", kind).observe(seen, F.count(F.when(F.col("what") == "sink", 1)).alias("sinks"), F.count(F.lit(1)).alias("nodes")), "gone")
-        if not seen.get["nodes"] or not seen.get["sinks"]:
-            result = gone_all.df.select("relation", "id").join(lab, ["relation", "id"]).groupBy("relation").agg(F.min("least").alias("id"))
+        ranked = Stored(degree.withColumn("gone", goes).observe(seen, F.count(F.when(F.col("out") == 0, 1)).alias("sinks")), "degrees")
+        if not seen.get["sinks"]:
+            result = ranked.df.select("relation", "id").join(lab, ["relation", "id"]).groupBy("relation").agg(F.min("least").alias("id"))
             return Stored(result, "cycles").df
-        gone = gone_all.df.where("what is not null").select("relation", "id", "what", "next", "prev")
-        handed = e.join(gone.where("what <> 'sink'").select("relation", F.col("id").alias("source")), ["relation", "source"], "left_semi").join(lab.select("relation", F.col("id").alias("source"), "least"), ["relation", "source"]).select("relation", F.col("target").alias("id"), "least")
-        rest = e.join(gone.select("relation", F.col("id").alias("source")), ["relation", "source"], "left_anti").join(gone.select("relation", F.col("id").alias("target")), ["relation", "target"], "left_anti")
-        bridged = gone.where("what = 'link'").select("relation", F.col("prev").alias("source"), F.col("next").alias("target"))
-        bridged = bridged.join(gone.select("relation", F.col("id").alias("source")), ["relation", "source"], "left_anti").join(gone.select("relation", F.col("id").alias("target")), ["relation", "target"], "left_anti")
-        later = Stored(rest.select("relation", "source", "target").unionByName(bridged.select("relation", "source", "target")).distinct(), "links")
-        later_labels = Stored(lab.join(gone.select("relation", "id"), ["relation", "id"], "left_anti").unionByName(handed.join(gone.select("relation", "id"), ["relation", "id"], "left_anti")).groupBy("relation", "id").agg(F.min("least").alias("least")), "labels")
-        for old in (links, labels, gone_all):
+        at = lambda side: ranked.df.select("relation", F.col("id").alias(side), F.col("gone").alias(f"{side}_gone"), F.col("out").alias(f"{side}_out"), F.col("next").alias(f"{side}_next"))
+        known = e.join(at("source"), ["relation", "source"]).join(at("target"), ["relation", "target"])
+        handed = known.where("source_gone and not target_gone").join(lab.withColumnRenamed("id", "source"), ["relation", "source"]).select("relation", F.col("target").alias("id"), "least")
+        jump = F.when((F.col("source_out") == 1) & (F.col("target_out") == 1), F.col("target_next")).otherwise(F.col("target"))
+        moved = known.where("not source_gone and not target_gone").select("relation", "source", jump.alias("target"))
+        left = ranked.df.where("not gone").select("relation", "id")
+        moved = moved.join(left.withColumnRenamed("id", "target"), ["relation", "target"], "left_semi").select("relation", "source", "target").distinct()
+        kept = lab.join(left, ["relation", "id"], "left_semi").select("relation", "id", "least").unionByName(handed)
+        later = Stored(moved, "links"), Stored(kept.groupBy("relation", "id").agg(F.min("least").alias("least")), "labels")
+        for old in (links, labels, ranked):
             old.drop()
-        links, labels = later, later_labels
+        links, labels = later
     raise RuntimeError("the graph didn't shrink to nothing")
