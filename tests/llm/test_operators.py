@@ -348,6 +348,30 @@ def test_repetition(spark):
     assert repetition.repetitive(docs.where("false")).count() == 0 and repetition.repetitive(docs.where("doc_id = 121")).count() == 0
 
 
+def test_forest_decides(spark):
+    """The forest's flags alone agree with the rule on documents it wasn't calibrated on; a coarse forest's don't."""
+    rng = random.Random(12)
+
+    def text(spam):
+        own = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 200))]
+        again = own[:20] * rng.randint(4, 9) if spam else own[:10] if rng.random() < 0.3 else []
+        return " ".join(own + again)
+
+    docs = documents(spark, [(i, text(i % 20 == 0), None) for i in range(1600)])
+    stats = repetition.Stored(repetition.statistics(docs)).df
+    known, rest = stats.where("doc_id % 2 = 1 or doc_id % 200 = 0"), stats.where("doc_id % 2 = 0 and doc_id % 200 <> 0").toPandas()
+    label = (rest.n_covered >= 0.3 * rest.n_words).to_numpy()
+
+    def flagged(**options):
+        d = repetition.fit(known, **options)
+        return d.forest.score(rest[list(repetition.FEATURES)].to_numpy()) >= d.threshold
+
+    got, coarse = flagged(), flagged(trees=1, sample=2)
+    assert (got & label).sum() >= 0.9 * label.sum() and (got & label).sum() >= 0.9 * got.sum() and label.sum() > 50
+    assert coarse.sum() != got.sum() and (coarse & label).sum() < 0.9 * coarse.sum()
+    assert repetition.fit(stats.where("n_covered = 0")).threshold is None
+
+
 def test_forest_tells_outliers():
     rng = np.random.default_rng(9)
     rows = np.vstack([rng.normal(0, 1, (500, 4)), np.full((5, 4), 8.0)])
