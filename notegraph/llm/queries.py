@@ -21,7 +21,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: terms.marked_terms(t(s, d, "postings")),
         "p2_frequencies": lambda s, d: terms.term_frequencies(t(s, d, "postings")),
         "p3_found": lambda s, d: terms.distinctive_terms(t(s, d, "postings")),
-        "p3_scores": lambda s, d: terms.distinctiveness(t(s, d, "postings")).select("file", "term", "n_term", F.round("z", 6).alias("z")),
+        "p3_scores": lambda s, d: terms.distinctiveness(t(s, d, "postings")).rows.select("file", "term", "n_term", F.round("z", 6).alias("z")),
         "p4_found": lambda s, d: language.mislabelled(t(s, d, "nodes")),
         "p4_languages": lambda s, d: language.node_languages(t(s, d, "nodes")),
         "p4_segments": lambda s, d: language.node_segments(t(s, d, "nodes")),

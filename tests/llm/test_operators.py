@@ -120,7 +120,7 @@ def test_distinctive(spark):
         f_all[f] += n
         df[t] += 1
     n, a0 = sum(c.values()), sum(c.values()) / len(f_all)
-    got = {(r.term, r.file): r.z for r in terms.distinctiveness(postings(spark, rows), heavy_share=0.05).collect()}
+    got = {(r.term, r.file): r.z for r in terms.distinctiveness(postings(spark, rows), heavy_share=0.05).rows.collect()}
     assert set(got) == set(c)
     for (t, f), k in c.items():
         a = a0 * t_all[t] / n
@@ -129,7 +129,7 @@ def test_distinctive(spark):
     want = {(f, t) for (t, f), k in c.items() if k >= 6 and k * n >= 25 * f_all[f] * t_all[t] and 2 <= df[t] <= len(f_all) / 20}
     assert {tuple(r) for r in terms.distinctive_terms(postings(spark, rows)).collect()} == want and want
     assert terms.distinctive_terms(postings(spark, [])).count() == 0
-    assert [r.z for r in terms.distinctiveness(postings(spark, [("a", 1, 1, 3)])).collect()] == [None]
+    assert [r.z for r in terms.distinctiveness(postings(spark, [("a", 1, 1, 3)])).rows.collect()] == [None]
 
 
 # -- pairs ---------------------------------------------------------------------------------------
@@ -384,3 +384,18 @@ def test_queries_have_names_and_sql():
 
     assert set(queries.oracle_sql()) <= set(queries.queries()) and {f"p{n}_found" for n in (1, 2, 3, 4, 5, 8, 10)} <= set(queries.queries())
     assert json.dumps(sorted(queries.queries()))
+
+
+def test_least_z_is_a_bound():
+    rng = np.random.default_rng(3)
+    for n, files in ((60_000, 1200), (2000, 30), (10**7, 10**4)):
+        prior = n / files
+        c = np.floor(6 * np.exp(rng.random(400_000) * 8))
+        t = c + 1 + np.floor(np.exp(rng.random(len(c)) * np.log(n / 25)))
+        f = np.floor(c * n / (25 * t))
+        c, t, f = c[f >= c], t[f >= c], f[f >= c]
+        a = prior * t / n
+        z = (np.log((c + a) / (f + prior - c - a)) - np.log((t - c + a) / (n - f + prior - (t - c) - a))) / np.sqrt(1 / (c + a) + 1 / (t - c + a))
+        bound = terms.least_z(n, files, prior, 6, 25)
+        assert 0 < bound <= z.min() < bound + 0.2
+    assert terms.least_z(0, 0, 1.0, 6, 25) == float("-inf")
