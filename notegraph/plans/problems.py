@@ -14,8 +14,9 @@ def _run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch of a fresh log over the changes; the result is what its sink holds."""
     tables = [read_table(spark, sf_dir, t) for t in ("files", "nodes", "index_state", "index_runs")]
     log = changes.ChangeLog(spark, f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}")
-    log.run(lambda: changes.detect_changes(*tables))
-    return log.results()
+    log.run(lambda captured: changes.detect_changes(*tables, captured))
+    got = log.results()
+    return got if got is not None else spark.createDataFrame([], changes.RECORD)
 
 
 def queries() -> dict:
@@ -24,6 +25,7 @@ def queries() -> dict:
         "p6_changes": lambda s, d: changes.detect_changes(*(read_table(s, d, t) for t in ("files", "nodes", "index_state", "index_runs"))),
         "p7_found": lambda s, d: hierarchy.hierarchy(read_table(s, d, "edges")).select("id", "root", "depth"),
         "p7_tree": lambda s, d: hierarchy.hierarchy(read_table(s, d, "edges"), with_path=True).select("id", "parent", "root", "depth", "size", "path"),
+        "p7_several_parents": lambda s, d: hierarchy.several_parents(read_table(s, d, "edges")),
         "p7_descendants": lambda s, d: _descendants(s, d),
     }
 
@@ -60,5 +62,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": _CHANGES + " SELECT path, state FROM j WHERE state IS NOT NULL",
         "p6_changes": _CHANGES + " SELECT path, state, mtime_ns, size, source_hash FROM j WHERE state IS NOT NULL",
+        "p7_several_parents": _TREE.partition(",\nup AS")[0] + " SELECT id, min(parent) AS parent FROM links GROUP BY id HAVING count(DISTINCT parent) > 1",
+        "p7_tree": _TREE + """, anc AS (SELECT id AS ancestor, id, CAST(0 AS BIGINT) AS distance FROM tree UNION ALL SELECT ancestor, up.id, distance + 1 FROM anc JOIN up ON up.parent = anc.id),
+            sizes AS (SELECT ancestor AS id, count(*) AS size FROM anc GROUP BY 1)
+            SELECT ids.id, up.parent, coalesce(root, '(cycle)') AS root, coalesce(depth, -1) AS depth, size, path FROM ids LEFT JOIN tree ON tree.id = ids.id LEFT JOIN up ON up.id = ids.id LEFT JOIN sizes ON sizes.id = ids.id""",
+        "p7_descendants": _TREE + """, anc AS (SELECT id AS ancestor, id, CAST(0 AS BIGINT) AS distance FROM tree UNION ALL SELECT ancestor, up.id, distance + 1 FROM anc JOIN up ON up.parent = anc.id)
+            SELECT ancestor, id, distance FROM anc WHERE distance > 0""",
         "p7_found": _TREE + " SELECT ids.id, coalesce(root, '(cycle)') AS root, coalesce(depth, -1) AS depth FROM ids LEFT JOIN tree ON tree.id = ids.id",
     }

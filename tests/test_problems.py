@@ -77,7 +77,22 @@ def test_hierarchy(spark):
     for r in rows.values():
         if r.first is not None:
             assert r.last - r.first + 1 == r.size == len(under.get(r.id, ())) + 1
-    assert hierarchy.hierarchy(spark.createDataFrame([], EDGES)).count() == 0
+    firsts = sorted(r.first for r in rows.values() if r.first is not None)
+    assert firsts == list(range(len(firsts)))  # one preorder over all trees
+    above = {r.ancestor for r in hierarchy.ancestors(tree, spark.createDataFrame([("kid7",), ("c0",), ("hub",)], "id string"), cell=5).collect()}
+    assert above == {"hub", *(f"c{i}" for i in range(1, 41))}
+    df = spark.createDataFrame(edges, EDGES)
+    assert [tuple(r) for r in hierarchy.several_parents(df).collect()] == [("q", "a1")]
+    assert hierarchy.hierarchy(df.where("false")).count() == 0
+    assert {(r.id, r.depth) for r in hierarchy.hierarchy(df.where("id is null and src in ('l1', 'l2', 'self')")).collect()} == {("l1", -1), ("l2", -1), ("self", -1)}
+
+
+def test_ranges_over_several_cells(spark):
+    """A chain, a star and single trees, cut into cells of 4096 places."""
+    edges = [("r", "top", "parent", True, None)] + [(f"s{i}", "r", "parent", True, None) for i in range(9000)] + [(f"m{i}", f"n{i}", "parent", True, None) for i in range(500)]
+    tree = hierarchy.hierarchy(spark.createDataFrame(edges, EDGES)).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").alias("deep"), F.sum("depth").alias("sum")).collect()
+    assert {tuple(r) for r in tree if r.root == "top"} == {("top", 9002, 2, 18001)}
+    assert {tuple(r)[1:] for r in tree if r.root != "top"} == {(2, 1, 1)} and len(tree) == 501
 
 
 def tables(spark):
@@ -99,12 +114,12 @@ def test_changes(spark):
 
 def test_change_log_survives_failures(spark, tmp_path):
     log = changes.ChangeLog(spark, str(tmp_path / "log"), partitions=4)
-    rows = spark.createDataFrame([(f"p{i}", "added") for i in range(20)], "path string, state string")
+    rows = spark.createDataFrame([(f"p{i}", "added", i, i, None) for i in range(20)], changes.RECORD)
     calls = []
 
     def listing(df):
-        def give():
-            calls.append(1)
+        def give(captured):
+            calls.append(captured)
             return df
 
         return give
@@ -123,10 +138,34 @@ def test_change_log_survives_failures(spark, tmp_path):
     with pytest.raises(OSError):
         log.run(listing(rows.limit(5)))
     again = changes.ChangeLog(spark, str(tmp_path / "log"), partitions=4)
-    assert again.pending() == 1 and again.run(listing(rows)) == 1
-    assert again.results().count() == 25
+    # a result that comes twice counts once
+    assert again.pending() == 1 and again.run(listing(rows), lambda df: df.unionByName(df)) == 1
+    assert again.results().count() == 25 and again.clean() == 1 and again.results().count() == 25
     offsets = again.results().groupBy("partition").agg(F.min("offset").alias("a"), F.max("offset").alias("b"), F.count("*").alias("n")).collect()
     assert all(r.b - r.a + 1 == r.n and r.a == 1 for r in offsets)
+    # the first driver has been fenced off
+    with pytest.raises(changes.Fenced):
+        log.run(listing(rows))
+
+
+def test_change_log_repeats_nothing(spark, tmp_path):
+    """Runs over unchanged tables are empty; after an edit only that path comes, also over a snapshot."""
+    log = changes.ChangeLog(spark, str(tmp_path / "log"), partitions=3, snapshot_every=2)
+    files, nodes, state, runs = tables(spark)
+    detect = lambda f=files, n=nodes: lambda captured: changes.detect_changes(f, n, state, runs, captured)
+    assert log.run(detect()) == 0 and log.results().count() == 3
+    assert log.run(detect()) is None and log.results().count() == 3
+    edited = nodes.unionByName(spark.createDataFrame([("b", 2, "hb2", 0)], NODES))
+    assert log.run(detect(n=edited)) == 1
+    assert {(r.path, r.state) for r in log.results().where("batch = 1").collect()} == {("b", "changed")}
+    assert log._numbers("snapshots") == [1] and log.run(detect(n=edited)) is None
+    listed = files.unionByName(spark.createDataFrame([("z", 5, 1, 1, None), ("e", 5, 51, 5, None)], FILES))
+    assert log.run(detect(listed, edited)) == 2
+    assert {(r.path, r.state) for r in log.results().where("batch = 2").collect()} == {("z", "added"), ("e", "changed")}
+    # captured, but the run died before it planned: the next one processes it
+    log.capture(detect(listed, edited.unionByName(spark.createDataFrame([("a", 9, "h9", 0)], NODES))))
+    assert log.run(detect(listed, edited.unionByName(spark.createDataFrame([("a", 9, "h9", 0)], NODES)))) == 3
+    assert log.results().count() == 7 and log.results().where("batch = 3").first().path == "a"
 
 
 def test_stored(spark):
