@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.current import latest
-from .markup import clean
+from .markup import strip
 
 FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "pt"), "slavic": ("ru", "uk")}
 LANGUAGES = tuple(x for f in FAMILIES.values() for x in f)
@@ -98,7 +98,7 @@ def text_blocks(body: str, min_words: int) -> list[tuple[int, str]]:
         if len(lines) > 1 or first.lstrip()[:1] in PREFIX_START:
             text = PREFIX.sub("", text)
         if "<" in text or "&" in text or "\\" in text or "''" in text or "{{" in text:
-            text = clean(text)[0]
+            text = strip(text)
         if "`" in text:
             text = INLINE_CODE.sub(" ", text)
         if "$" in text or "\\" in text:
@@ -274,7 +274,7 @@ def _identified(nodes: DataFrame, model: LanguageModel, min_words: int, part_cha
             count[i] += 1
         # nodes without a text block are judged by all the text they have
         bare = [i for i in range(len(f)) if not segments[i]]
-        fallback = [" ".join(x for x in (f["title"].iloc[i], clean(f["body"].iloc[i] or "")[0]) if x) for i in bare]
+        fallback = [" ".join(x for x in (f["title"].iloc[i], strip(f["body"].iloc[i] or "")) if x) for i in bare]
         said, trust = model.predict(fallback)
         whole: list[dict | None] = []
         rest = {i: (lang, sure) for i, lang, sure in zip(bare, said, trust.tolist())}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .markup import clean
+from .markup import strip
 
 WORD = re.compile(r"[^\W_]+")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
@@ -34,7 +34,7 @@ def words_of(text: str) -> list[str]:
         text = INVISIBLE.sub("", text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-    text = clean(text)[0]
+    text = strip(text)
     if "](" in text:
         text = LINK.sub(r"\1 ", text)
     if "[[" in text:

@@ -2,10 +2,11 @@
 
 A text goes through three steps. Code (fenced, indented, inline) is set aside untouched. The
 constructs of each foreign system are replaced by the Markdown that says the same (headings,
-lists, tables, code) or dropped when they only carry layout; formulas stay as they are. Then
-the line-block distribution decides which lines are kept: over windows of lines the lengths of the
-stripped text are summed, a region of text begins where the sum surges and ends where it dives
-to nothing, and what lies between two regions (leftovers of tags and templates) goes.
+lists, tables, code) or dropped when they only carry layout; formulas stay as they are. What was stripped tells
+which systems stand in the text. Then the line-block distribution decides which lines are kept: over windows
+of lines the lengths of the stripped text, that of HTML's links left out, are summed; a region of text begins where the sum surges
+and ends where it dives to nothing; and what lies outside of any region (menus, footers, leftovers of templates) goes.
+Lines that no construct was stripped from are the collection's own text and always make a region.
 
 Nulls give null text and no systems, empty texts an empty text. Texts of any length are processed
 whole, in time linear in their length.
@@ -44,6 +45,8 @@ COMMENT = re.compile(r"<!--.*?-->", re.S)
 DOCTYPE = re.compile(r"<!DOCTYPE\s[^<>]*>|<!\[CDATA\[|\]\]>", re.I)
 HIDDEN = re.compile(rf"<(script|style)\b{_ATTR}\s*>.*?</\1\s*>", re.S | re.I)
 PRE = re.compile(rf"<pre\b{_ATTR}\s*>(.*?)</pre\s*>", re.S | re.I)
+#: An ampersand escaped any number of times before what may be an entity: each round would take one level off.
+AMPERSANDS = re.compile(r"&(?:(?:amp|#38|#x26);)+(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
 WIKI_QUOTES = re.compile(r"(?<![\w'])('{5}|'{2,3})(?=[^\s'])([^\n]*?[^\s'])\1(?!['\w])|(?<![\w'])('{2,3})(?=[^\s'])([^\n]*?\w')\3(?!['\w])")
@@ -56,8 +59,10 @@ WIKI_TAG = re.compile(rf"</?(?:{WIKI_TAGS})(?:\s[^<>]*)?/?>", re.I)
 WIKI_REDIRECT = re.compile(r"^#REDIRECT[ \t]*\[\[([^\]\n]+)\]\]", re.M | re.I)
 TEMPLATE = re.compile(r"\{\{\{[\w ]+(?:\|[^{}]*)?\}\}\}|\{\{(?:[^\s{}|#][^{}|\n]*(?:\n?[ \t]*\|[^{}]*)?|#\w+:[^{}]*|[ \t]*[^\s{}|][^{}|\n]*\|[^{}]*)\}\}")
 
+BRACES = re.compile(r"\{\{|\}\}")
+
 ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+)\*?\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*")
-COMMAND = re.compile(r"\\(?<![\\:]\\)([A-Za-z]+)\*?(?:\[[^\]\n]*\])*\{([^{}]*)\}")
+COMMAND = re.compile(r"\\[{}]|\\(?<![\\:]\\)([A-Za-z]+)\*?(?:\[[^\]\n]*\])*\{|[{}]")
 BARE = re.compile(rf"\\(?<![\w\\:/]\\)(?:{LATEX_BARE})(?![A-Za-z\\.])(?:\[[^\]\n]*\])?")
 DISPLAY = re.compile(r"\$\$(?<![\\$]\$\$)(?=[^$]*\S)[^$]+?\$\$")
 MATH_SYMBOLS = re.compile(r"\\[A-Za-z]|[=^_+<>]")
@@ -74,6 +79,10 @@ TICKS = re.compile(r"`(`*)(?!`)((?:[^`\n]|\n(?![ \t]*\n)|(?!`\1(?!`))(?<!`)`+)+?
 LIST_LINE = re.compile(r"^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]")
 #: What's left of a construct: only brackets, bars and the like.
 RESIDUE = re.compile(r"[\s{}|<>\[\]&;=\\'/!]*|\s*\|[-+]\s*")
+LINK_BEGINS, LINK_ENDS = "\ue002", "\ue003"
+LINKED = re.compile("\ue002[^\ue003]*(?:\ue003|\\Z)|\\A[^\ue002\ue003]*\ue003")
+PRIVATE = re.compile("[\ue000-\ue003]")
+STRUCTURE = re.compile(r"[ \t]*(?:#{1,6}[ \t]|[-*+][ \t]|\d{1,9}[.)][ \t]|\||>)")
 HELD = re.compile("\ue000(\\d+)\ue001")
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset head header hr html iframe legend main menu nav noscript ol optgroup option p section select summary table tbody tfoot thead title tr ul".split())
 
@@ -151,6 +160,58 @@ def _hold_indented(text: str, hold: _Hold) -> str:
     return "\n".join(out)
 
 
+def _commands(text: str, replace) -> str:
+    """``text`` with each command and its argument replaced, inner ones first, in one pass over the braces.
+
+    ``replace`` takes the name and the argument, without the braces of groups in it. Braces outside of commands stay.
+    """
+    out: list[str] = []
+    opened: list[tuple[int, str | None]] = []
+    pos = 0
+    for m in COMMAND.finditer(text):
+        out.append(text[pos : m.start()])
+        pos = m.end()
+        if m[0] == "}" and opened:
+            at, name = opened.pop()
+            if name is None:
+                out.append("}")
+            else:
+                argument = "".join(out[at + 1 :])
+                out[at:] = [replace(name, argument.replace("{", "").replace("}", "") if "{" in argument else argument)]
+            continue
+        if m[0] == "{" or m[1]:
+            opened.append((len(out), m[1]))
+        out.append(m[0])
+    out.append(text[pos:])
+    return "".join(out)
+
+
+def _templates(text: str, replace) -> str:
+    """``text`` without its templates and parameters, inner ones first, in one pass over the double braces."""
+    out: list[str] = []
+    opened: list[list] = []  # where it began, and whether braces that are no template lie within
+    pos = 0
+    while m := BRACES.search(text, pos):
+        out.append(text[pos : m.start()])
+        pos = m.end()
+        if m[0] == "{{":
+            opened.append([len(out), False])
+        out.append(m[0])
+        if m[0] == "{{" or not opened:
+            continue
+        at, foreign = opened.pop()
+        whole = "" if foreign else "".join(out[at:])
+        if whole.startswith("{{{") and text[pos : pos + 1] == "}" and TEMPLATE.fullmatch(whole + "}"):
+            pos += 1
+        elif not whole or not TEMPLATE.fullmatch(whole):
+            if opened:
+                opened[-1][1] = True
+            continue
+        out[at:] = [replace()]
+    out.append(text[pos:])
+    return "".join(out)
+
+
 def _is_formula(content: str) -> bool:
     """Prices also stand between two dollar signs: a formula is a symbol, or has operators."""
     body = content.strip()
@@ -187,10 +248,10 @@ def _latex(text: str, hold: _Hold) -> tuple[str, bool]:
         found = True
         return ""
 
-    def command(m: re.Match) -> str:
+    def command(name: str, content: str) -> str:
         nonlocal found
         found = True
-        name, content = m[1], m[2].strip()
+        content = content.strip()
         if name in SECTION_LEVEL:
             return "\n" + "#" * SECTION_LEVEL[name] + " " + content + "\n"
         if name in LATEX_DROPPED:
@@ -202,12 +263,7 @@ def _latex(text: str, hold: _Hold) -> tuple[str, bool]:
         found = True
         return "-" if m[0].startswith("\\item") else ("…" if "dots" in m[0] else "")
 
-    text = ENVIRONMENT.sub(environment, text)
-    for _ in range(8):  # arguments may nest; each pass takes the innermost ones
-        changed = COMMAND.sub(command, text)
-        if changed == text:
-            break
-        text = changed
+    text = _commands(ENVIRONMENT.sub(environment, text), command)
     return BARE.sub(bare, text), found
 
 
@@ -239,14 +295,13 @@ def _wiki(text: str) -> tuple[str, bool]:
 
     if "{" in text:
         text = _closed(WIKI_TABLE, "|}", table, text)
-        for _ in range(6):
-            changed = TEMPLATE.sub(lambda m: hit(""), text)
-            if changed == text:
-                break
-            text = changed
-    if "''" in text:
-        for _ in range(2):  # italics within bold
-            text = WIKI_QUOTES.sub(lambda m: hit(m[2] if m[2] is not None else m[4]), text)
+        if "{{" in text:
+            text = _templates(text, lambda: hit(""))
+    while "''" in text:  # italics within bold
+        changed = WIKI_QUOTES.sub(lambda m: hit(m[2] if m[2] is not None else m[4]), text)
+        if changed == text:
+            break
+        text = changed
     if "=" in text and (text.lstrip(" \t").startswith("=") or re.search(r"\n[ \t]*=", text)):
         text = WIKI_HEADING.sub(lambda m: hit("#" * len(m[1]) + " " + m[2]), text)
     if "__" in text:
@@ -281,6 +336,8 @@ def _html(text: str, hold: _Hold) -> tuple[str, bool]:
             return hit("\n")
         if name == "li":
             return hit("" if closing else "\n- ")
+        if name == "a":
+            return hit(LINK_ENDS if closing else LINK_BEGINS)
         if name in ("td", "th"):
             return hit(" |" if closing else " ")
         if name == "tr":
@@ -293,7 +350,7 @@ def _html(text: str, hold: _Hold) -> tuple[str, bool]:
         char = html.unescape(m[0])
         return m[0] if char == m[0] or char.endswith(";") and m[0] != "&semi;" and len(char) > 2 else hit(" " if char == "\xa0" else char)
 
-    for again in range(2):  # the second round is for tags written as entities
+    while True:  # a further round is for tags written as entities
         if "<" in text:
             text = _closed(COMMENT, "-->", lambda m: hit(""), text)
             if "<!" in text:
@@ -303,65 +360,101 @@ def _html(text: str, hold: _Hold) -> tuple[str, bool]:
             text = TAG.sub(tag, text)
         if "&" not in text:
             break
-        changed = ENTITY.sub(entity, text)
+        changed = ENTITY.sub(entity, AMPERSANDS.sub("&", text))
         if changed == text:
             break
         text = changed
     return text, found
 
 
-def line_blocks(lines: list[str], lengths: list[int], window: int, surge: int) -> list[bool]:
+def line_blocks(lengths: list[int], window: int, surge: int) -> list[bool]:
     """Which lines lie in a region of text, by the line-block distribution.
 
-    A block is ``window`` lines from a line on, its size their stripped length. A region begins at a
-    line with text whose block reaches ``surge``, and ends where a block is empty.
+    A block is ``window`` lines from a line on, its size the sum of their lengths. A region begins at a
+    line with text whose block reaches ``surge`` (or the largest block there is, if none does), and ends where a block is empty.
     """
-    n = len(lines)
+    n = len(lengths)
     sums = [0] * (n + 1)
     for i in range(n - 1, -1, -1):
         sums[i] = sums[i + 1] + lengths[i]
     block = [sums[i] - sums[min(n, i + window)] for i in range(n)]
+    surge = min(surge, max(block, default=0))
     keep, inside = [False] * n, False
     for i in range(n):
-        if not inside and lengths[i] and block[i] >= surge:
-            inside = True
-        elif inside and block[i] == 0:
+        if not inside:
+            inside = lengths[i] > 0 and block[i] >= surge
+        elif block[i] == 0:
             inside = False
         keep[i] = inside
     return keep
 
 
-def clean(body: str, window: int = 3, surge: int = 1) -> tuple[str, list[str]]:
-    """The clean text, and the foreign systems that stand in ``body`` outside of code."""
+def _length(line: str, own: set[str], surge: int) -> int:
+    """What a stripped line adds to its blocks: nothing if only residue or links are left of it, its length without
+    blanks else; native lines and those of a structure weigh as much as makes a region."""
+    text = LINKED.sub("", line) if LINK_BEGINS in line or LINK_ENDS in line else line
+    mark = STRUCTURE.match(text)
+    if RESIDUE.fullmatch(text, mark.end() if mark else 0):
+        return 0
+    n = len(text) - text.count(" ")
+    return max(n, surge) if mark or line in own or "\ue000" in text else n
+
+
+def _stripped(body: str, hold: _Hold) -> tuple[str, list[str], set[str]]:
+    """The text without foreign constructs, the systems stripped from it, and the lines it had before."""
+    if not _may_hold_markup(body) or not _may_hold_markup(text := _hold_code(body, hold)):
+        return body, [], set()
+    own = set(text.split("\n"))
+    text, latex = _latex(text, hold)
+    text, wiki = _wiki(text)
+    text, tags = _html(text, hold)
+    return text, [name for name, stripped in (("html", tags), ("latex", latex), ("wiki", wiki)) if stripped], own
+
+
+def _unified(body: str) -> str:
     if "\r" in body:
         body = body.replace("\r\n", "\n").replace("\r", "\n")
-    if "\ue000" in body or "\ue001" in body:
-        body = body.replace("\ue000", "").replace("\ue001", "")
-    hold = _Hold()
-    text, systems = body, []
-    if _may_hold_markup(body) and _may_hold_markup(text := _hold_code(body, hold)):
-        text, latex = _latex(text, hold)
-        text, wiki = _wiki(text)
-        text, tags = _html(text, hold)
-        systems = [name for name, found in (("html", tags), ("latex", latex), ("wiki", wiki)) if found]
-    if not systems:
-        return body, systems
-    lines = text.split("\n")
-    lengths = [0 if RESIDUE.fullmatch(x) else len(x) - x.count(" ") for x in lines]
-    keep = line_blocks(lines, lengths, window, surge)
+    return PRIVATE.sub("", body) if not body.isascii() and PRIVATE.search(body) else body
+
+
+def _joined(lines: list[str], keep: list[bool], hold: _Hold) -> str:
     out: list[str] = []
-    for line, length, kept in zip(lines, lengths, keep):
-        if kept and length:
+    for line, kept in zip(lines, keep):
+        line = line.replace(LINK_BEGINS, "").replace(LINK_ENDS, "")
+        if kept and not RESIDUE.fullmatch(line):
             out.append(re.sub(r"(?<=\S) {2,}", " ", line).rstrip())
         elif out and out[-1] and not line.strip():
             out.append("")
-    return hold.back("\n".join(out)).strip("\n"), systems
+    return hold.back("\n".join(out)).strip("\n")
+
+
+def strip(body: str) -> str:
+    """All text of ``body`` without foreign constructs; no line with text of its own is left out."""
+    body, hold = _unified(body), _Hold()
+    text, systems, _ = _stripped(body, hold)
+    if not systems:
+        return body
+    lines = text.split("\n")
+    return _joined(lines, [True] * len(lines), hold)
+
+
+def clean(body: str, window: int = 3, surge: int = 40) -> tuple[str, list[str]]:
+    """The clean text, and the foreign systems stripped from ``body`` outside of code.
+
+    ``surge`` is the number of characters without blanks in ``window`` lines at which a region of text begins.
+    """
+    body, hold = _unified(body), _Hold()
+    text, systems, own = _stripped(body, hold)
+    if not systems:
+        return body, systems
+    lines = text.split("\n")
+    return _joined(lines, line_blocks([_length(x, own, surge) for x in lines], window, surge), hold), systems
 
 
 SCHEMA = "id string, clean_text string, clean_headings array<string>, markup array<string>"
 
 
-def clean_nodes(nodes: DataFrame, window: int = 3, surge: int = 1) -> DataFrame:
+def clean_nodes(nodes: DataFrame, window: int = 3, surge: int = 40) -> DataFrame:
     """Clean text and headings of the current row of each path, with the systems found in its body.
 
     Columns: id, clean_text, clean_headings, markup. Cleaning takes place before rows are compared, so

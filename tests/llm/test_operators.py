@@ -48,10 +48,28 @@ def test_native_and_lookalikes(text):
     assert markup.clean(text)[1] == []
 
 
+def test_menus_go_and_prose_stays():
+    """Surge and dive decide: with the smallest surge and window the footer would stay."""
+    body = "<ul>\n<li><a href='/'>Home</a></li>\n<li><a href='/b'>About us</a></li>\n<li><a href='/c'>Contact</a></li>\n</ul>\n\n<h1>Plan</h1>\n<p>The release plan says that the second shard moves to the new cluster next week.</p>\n<p>It stays <a href='/d'>there</a>.</p>\nOwn.\n\n\n\n<div>(c) 2020</div>\n\n\n\n<div><a href='/x'>Terms</a> | <a href='/y'>Privacy</a></div>\n<div><a>Imprint</a></div>\n"
+    text = "# Plan\n\nThe release plan says that the second shard moves to the new cluster next week.\n\nIt stays there.\n\nOwn."
+    assert markup.clean(body) == (text, ["html"])
+    assert markup.clean(body, surge=1)[0] == text + "\n\n(c) 2020" and "Imprint" in markup.strip(body)
+    assert markup.line_blocks([0, 5, 50, 0, 0, 0, 5, 0, 0, 0, 45], 3, 40) == [False, True, True, False, False, False, False, False, False, False, True]
+    assert markup.line_blocks([], 3, 40) == [] and markup.line_blocks([0, 0], 3, 40) == [False, False]
+
+
+@pytest.mark.parametrize("depth", [1, 7, 30, 400])
+def test_nesting_of_any_depth(depth):
+    assert markup.clean("{{a|" * depth + "x" + "}}" * depth + "text") == ("text", ["wiki"])
+    assert markup.clean("\\textbf{" * depth + "x" + "}" * depth) == ("x", ["latex"])
+    assert markup.clean("&" + "amp;" * depth + "lt;b&" + "amp;" * depth + "gt;x") == ("x", ["html"])
+    assert markup.clean("a {b {c}} \\emph{d {e}}") == ("a {b {c}} d e", ["latex"]) and markup.clean("{{{p|{{q|r}}}}} y") == (" y", ["wiki"])
+
+
 def test_long_hostile_texts_take_linear_time():
     import time
 
-    for part in ("<!--", "<b", "{{", "''", "\\begin{x", "$a ", "`a", "[[", "\\(", "{|\n", "<script>", "&#", "=a\n", "> ", "\\a{"):
+    for part in ("<!--", "<b", "{{", "''", "\\begin{x", "$a ", "`a", "[[", "\\(", "{|\n", "<script>", "&#", "=a\n", "> ", "\\a{", "{{a|", "{{{a|", "}}", "&amp;", "\\a{x}", "''a "):
         began = time.time()
         markup.clean(part * 20_000 + "<i>x</i>")
         assert time.time() - began < 10, part
