@@ -49,7 +49,7 @@ PRE = re.compile(rf"<pre\b{_ATTR}\s*>(.*?)</pre\s*>", re.S | re.I)
 AMPERSANDS = re.compile(r"&(?:(?:amp|#38|#x26);)+(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
-WIKI_QUOTES = re.compile(r"(?<![\w'])('{5}|'{2,3})(?=[^\s'])([^\n]*?[^\s'])\1(?!['\w])|(?<![\w'])('{2,3})(?=[^\s'])([^\n]*?\w')\3(?!['\w])")
+WIKI_QUOTES = re.compile(r"'{2,}|\n")
 WIKI_HEADING = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)^[ \t]*\|\}[ \t]*$", re.M | re.S)
 WIKI_SPACE_LINK = re.compile(rf"\[\[\s*:?(?:{WIKI_SPACES})\s*:[^\[\]]*\]\]", re.I)
@@ -212,6 +212,42 @@ def _templates(text: str, replace) -> str:
     return "".join(out)
 
 
+def _unquoted(text: str) -> str:
+    """``text`` without MediaWiki's quotes (2, 3 or 5 apostrophes), pair by pair within a line, in one pass.
+
+    A run opens before a character and closes after one, never within a word. One more apostrophe than the run
+    that is open belongs to the word before it.
+    """
+    cuts: list[tuple[int, int]] = []
+    opened: dict[int, list[int]] = {2: [], 3: [], 5: []}
+    for m in WIKI_QUOTES.finditer(text):
+        begin, end = m.span()
+        size = end - begin
+        if m[0] == "\n":
+            for x in opened.values():
+                x.clear()
+            continue
+        before, after = text[begin - 1 : begin], text[end : end + 1]
+        in_word = before.isalnum() or before == "_"
+        if before.strip() and not (after.isalnum() or after == "_"):
+            for own in (size, size - 1 if in_word and size in (3, 4) else size):
+                if opened.get(own):
+                    at = opened[own].pop()
+                    cuts += [(at, at + own), (end - own, end)]
+                    break
+            else:
+                own = 0
+            if own:
+                continue
+        if size in opened and not in_word and after.strip():
+            opened[size].append(begin)
+    out, pos = [], 0
+    for begin, end in sorted(cuts):
+        out.append(text[pos:begin])
+        pos = end
+    return "".join([*out, text[pos:]])
+
+
 def _is_formula(content: str) -> bool:
     """Prices also stand between two dollar signs: a formula is a symbol, or has operators."""
     body = content.strip()
@@ -297,11 +333,8 @@ def _wiki(text: str) -> tuple[str, bool]:
         text = _closed(WIKI_TABLE, "|}", table, text)
         if "{{" in text:
             text = _templates(text, lambda: hit(""))
-    while "''" in text:  # italics within bold
-        changed = WIKI_QUOTES.sub(lambda m: hit(m[2] if m[2] is not None else m[4]), text)
-        if changed == text:
-            break
-        text = changed
+    if "''" in text and (bare := _unquoted(text)) != text:
+        text = hit(bare)
     if "=" in text and (text.lstrip(" \t").startswith("=") or re.search(r"\n[ \t]*=", text)):
         text = WIKI_HEADING.sub(lambda m: hit("#" * len(m[1]) + " " + m[2]), text)
     if "__" in text:
