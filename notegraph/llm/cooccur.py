@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.current import latest
+from ..operators.heavy import spread_join
 from ..session import Stored
 
 
@@ -38,39 +39,37 @@ def tag_baskets(nodes: DataFrame) -> DataFrame:
     return got.where(F.size("items") > 0)
 
 
-def pair_counts(baskets: DataFrame, min_together: int = 1, chunk: int = 64) -> DataFrame:
+def pair_counts(baskets: DataFrame, min_together: int = 1, chunk: int = 64, hot_share: float = 0.001) -> DataFrame:
     """item_a, item_b (a < b), together, n_a, n_b, n_baskets for each pair on at least ``min_together`` baskets.
 
-    ``items`` must be sorted and distinct. Items on fewer than ``min_together`` baskets can't be in such a
-    pair and leave the baskets first. A basket of more than ``chunk`` items is split into chunks, and
+    ``items`` must be distinct. Items on fewer than ``min_together`` baskets can't be in such a
+    pair and leave the baskets first. A basket is cut into chunks of at most ``chunk`` items, and
     each pair of chunks becomes a row of its own that goes to any task, so a huge basket is spread and no
-    row yields more than chunk squared pairs. Pairs are counted within tasks before the shuffle.
+    row yields more than chunk squared pairs. Pairs are counted within tasks before the shuffle. Joins by item
+    don't gather an item that holds more than ``hot_share`` of the rows: there are at most 1/``hot_share`` such items,
+    whose counts are broadcast.
     """
-    items = baskets.select("basket", F.explode("items").alias("item"))
-    frequent = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_together)
-    frequent = Stored(frequent, "items").df
+    place = baskets.select("basket", F.ceil(F.size("items") / F.lit(chunk)).cast("int").alias("parts"), F.posexplode("items").alias("pos", "item"))
+    items = place.select("basket", "parts", F.floor(F.col("pos") / F.lit(chunk)).cast("int").alias("part"), "item")
+    counts = Stored(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "items").df
+    hot = counts.where(F.col("n") > F.lit(hot_share * (counts.agg(F.sum("n")).first()[0] or 0))).select(F.col("item").alias("key"))
+    frequent = counts.where(F.col("n") >= min_together)
     n_baskets = baskets.count()
-    kept = items.join(frequent.select("item"), "item", "left_semi")
-    # chunks of a basket: by hash, so that none has to be ordered or counted as a whole
-    size = baskets.select("basket", F.ceil(F.size("items") / F.lit(chunk / 2)).cast("int").alias("parts"))
-    small, large = size.where("parts <= 2"), size.where("parts > 2")
-    plain = kept.join(small.select("basket"), "basket", "left_semi").groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    chunks = kept.join(large, "basket").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")).groupBy("basket", "parts", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    own = chunks.select("items")
-    first = chunks.where("part < parts - 1").select("basket", "items", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("other"))
-    second = chunks.select("basket", F.col("part").alias("other"), F.col("items").alias("more"))
+    kept = spread_join(items, frequent, "item", hot, F.col("basket"), ["n"]).where("n is not null")
+    chunks = kept.groupBy("basket", "parts", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    large = chunks.where("parts > 1")
+    first = large.where("part < parts - 1").select("basket", "items", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("other"))
+    second = large.select("basket", F.col("part").alias("other"), F.col("items").alias("more"))
     crossed = first.join(second, ["basket", "other"])
 
-    within = plain.select("items").unionByName(own).where(F.size("items") > 1)
+    within = chunks.select("items").where(F.size("items") > 1)
     pairs = within.select(F.posexplode("items").alias("i", "a"), "items").select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
     across = crossed.select(F.explode("items").alias("a"), "more").select("a", F.explode("more").alias("b"))
     pairs = pairs.unionByName(across).select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
     together = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= min_together)
-    return (
-        together.join(frequent.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
-        .join(frequent.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
-        .select("item_a", "item_b", "together", "n_a", "n_b", F.lit(n_baskets).cast("long").alias("n_baskets"))
-    )
+    for own, other, n in (("item_a", "item_b", "n_a"), ("item_b", "item_a", "n_b")):
+        together = spread_join(together, frequent.select(F.col("item").alias(own), F.col("n").alias(n)), own, hot, F.col(other), [n])
+    return together.select("item_a", "item_b", "together", "n_a", "n_b", F.lit(n_baskets).cast("long").alias("n_baskets"))
 
 
 def associations(baskets: DataFrame, min_together: int = 1, chunk: int = 64) -> DataFrame:
