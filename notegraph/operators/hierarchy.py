@@ -36,9 +36,13 @@ def parent_links(edges: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(least.alias("parent"), F.when(least.isNull(), 0).when(least == most, 1).otherwise(2).alias("n_parents"))
 
 
-def _stored(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int, Stored]:
-    """The stored table and how many of its rows ``what`` holds for, counted while they're written."""
+def _stored(df: DataFrame, name: str, what: Column, most: int | None = None) -> tuple[DataFrame, int, Stored]:
+    """The stored table and how many of its rows ``what`` holds for, counted while they're written.
+
+    ``most`` bounds its rows where that's known, so that small tables don't become many files."""
     seen = Observation()
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // 250_000)))
     table = Stored(df.observe(seen, F.count(F.when(what, 1)).alias("n")), name)
     return table.df, seen.get["n"], table
 
@@ -55,21 +59,18 @@ def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     ever, as many as in the round before, have no end.
     """
     links, _, _ = _stored(links, "links", F.lit(True))
-    live, n, table = _stored(links.where("parent is not null").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "up", F.lit(True))
-    given, endless = [], False
-    for _ in range(MAX_ROUNDS):
-        if not n or endless:
-            break
-        more = Stored(live.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more")), "given").df
-        given.append(more)
-        grown = live.join(more, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+    live, n, _ = _stored(links.where("parent is not null").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "up", F.lit(True))
+    rounds, endless = [live], False
+    while n and not endless and len(rounds) <= MAX_ROUNDS:
+        given = live.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        grown = live.join(given, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         above = live.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-        live, left, later = _stored(grown.join(above, "up").select("id", F.col("up2").alias("up"), "size"), "up", F.lit(True))
-        table.drop()
-        endless, n, table = left == n, left, later
+        later, left, _ = _stored(grown.join(above, "up").select("id", F.col("up2").alias("up"), "size"), "up", F.lit(True), n)
+        endless, n, live = left == n, left, later
+        rounds.append(live)
     loops = links.join(live.select("id"), "id", "left_semi").select("id", "parent")
-    trees = links.join(live.select("id"), "id", "left_anti") if n else links
-    got = _union(given).groupBy("id").agg(F.sum("more").alias("more")) if given else links.where("false").select("id", F.lit(0).cast("long").alias("more"))
+    trees = links.join(live.select("id"), "id", "left_anti")
+    got = _union([x.select(F.col("up").alias("id"), "size") for x in rounds]).groupBy("id").agg(F.sum("size").alias("more"))
     return trees.join(got, "id", "left").select("id", "parent", (F.lit(1) + F.coalesce("more", F.lit(0))).cast("long").alias("size")), loops
 
 
@@ -102,7 +103,7 @@ def _handed_down(rows: DataFrame, value: str, together: Column) -> DataFrame:
             break
         live = now.where("up is not null")
         above = _union([x.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col(value).alias("above")) for x in (*done, live)])
-        now, n, _ = _stored(live.join(above, "up").select("id", F.col("up2").alias("up"), together.alias(value), *keep), "down", F.col("up").isNotNull())
+        now, n, _ = _stored(live.join(above, "up").select("id", F.col("up2").alias("up"), together.alias(value), *keep), "down", F.col("up").isNotNull(), n)
         done.append(now.where("up is null"))
     return _union(done).select("id", value, *keep)
 
@@ -144,8 +145,7 @@ def hierarchy(edges: DataFrame, with_path: bool = False) -> DataFrame:
     ``first`` lies within, its ancestors those whose range holds its ``first``. Nodes on a loop or below one have root
     ``(cycle)``, depth -1 and no size or range. An empty table gives no rows.
     """
-    links = Stored(parent_links(edges), "parents").df
-    sizes, loops = subtree_sizes(links.select("id", "parent"))
+    sizes, loops = subtree_sizes(parent_links(edges).select("id", "parent"))
     sized, n, _ = _stored(sizes, "sizes", F.lit(True))
     ranges = preorder(sibling_offsets(sized, max(256, -(-n // 1_000_000))))
     out = from_ranges(ranges, n)
