@@ -9,6 +9,8 @@ import sys
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -110,17 +112,27 @@ class Commands:
     def __init__(self, args: argparse.Namespace, spark):
         self.args, self.spark = args, spark
         self.manifest: Manifest = load_manifest(find_root(args.vault))
+        self.indexed = False
 
     def run(self) -> tuple[dict[str, Any] | str, int]:
         name = self.args.command + (f"_{self.args.action}" if hasattr(self.args, "action") else "")
-        got = getattr(self, name)()
+        try:
+            got = getattr(self, name)()
+        except (PySparkException, Py4JError):
+            # a table of the index may turn out damaged only when it's read; the files themselves still can be
+            if self.args.no_cache or not self.indexed:
+                raise
+            self.args.no_cache = True
+            got = getattr(self, name)()
         payload, code = got if isinstance(got, tuple) else (got, 0)
         if isinstance(payload, dict):
             payload = {"schemaVersion": f"notegraph.{name.replace('_', '-')}/v1", "vaultId": self.manifest.vault_id} | payload
         return payload, code
 
     def _result(self) -> tuple[store.Index | None, ScanResult]:
-        return store.open_or_scan(self.spark, self.manifest, not self.args.no_cache)
+        got = store.open_or_scan(self.spark, self.manifest, not self.args.no_cache)
+        self.indexed = got[0] is not None
+        return got
 
     # scan, validate and graph export always read the files themselves
     def scan(self):
@@ -150,11 +162,12 @@ class Commands:
         rows = _with_edges(result, nodes, incoming=True)
         return {"count": len(rows), "nodes": rows}
 
-    def _hits(self, limit: int):
+    def _hits(self, limit: int | None):
+        """Without a limit all hits: in indexed mode every candidate, in exact mode every node that matches."""
         found, result = self._result()
         query = self.args.query
         if found is not None:
-            return "indexed", found.search(query, limit)
+            return "indexed", found.search(query, search.CANDIDATES if limit is None else limit)
         return "exact", search.search(result.nodes, query, limit, self.manifest)
 
     def search(self):
@@ -165,7 +178,7 @@ class Commands:
         config, query = self.manifest.context, self.args.query
         limit = self.manifest.limit("context", self.args.limit)
         # groups are formed over all hits, so the ranking isn't cut before
-        mode, hits = self._hits(1_000_000)
+        mode, hits = self._hits(None)
         tokens = search.query_tokens(query, search.stop_words(self.manifest.search))
         rows = context.context(hits, tokens, config, limit).collect()
         wanted = config.get("outputFields", [])

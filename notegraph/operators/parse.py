@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from ..errors import ParseError
 from ..functions import text as X
 from ..functions import yaml12
-from ..functions.canonical import canonical, json_type, loose
+from ..functions.canonical import canonical, json_type, loose, text_hash
 from ..functions.targets import clean_target, relative_target
 from ..schemas import LINKS, PROP
 
-_PARSED = f"path string, body string, properties_json string, properties_text string, fm_tags array<string>, props array<struct<{PROP.replace(' string', ':string')}>>, error string"
+_PARSED = f"path string, source_hash string, body string, properties_json string, properties_text string, fm_tags array<string>, props array<struct<{PROP.replace(' string', ':string')}>>, error string"
 
 
 def split_frontmatter(text: str) -> tuple[str | None, str]:
@@ -63,24 +63,24 @@ def _tags(properties: dict[str, Any]) -> list[str]:
 
 
 def parse_files(files: DataFrame, legacy_colons: bool = False) -> DataFrame:
-    """One row per readable file: the columns of a node but for its kind, props, link texts, and the error if it can't be parsed."""
+    """One row per readable file: the columns of a node but for its kind, props, link texts, and the error if it can't be parsed.
+    Contents are read once: the hash is taken where they're parsed."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for path, data in zip(f["path"], f["content"]):
+                source_hash = None if data is None else text_hash(bytes(data))
                 try:
                     if data is None:
                         raise ParseError("file can't be read")
                     properties, body = parse_bytes(bytes(data), legacy_colons)
-                    rows.append((path, body, canonical(properties), json.dumps(properties, ensure_ascii=False), _tags(properties), props_of(properties), None))
+                    rows.append((path, source_hash, body, canonical(properties), json.dumps(properties, ensure_ascii=False), _tags(properties), props_of(properties), None))
                 except ParseError as e:
-                    rows.append((path, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "body", "properties_json", "properties_text", "fm_tags", "props", "error"], dtype=object)
+                    rows.append((path, source_hash, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "source_hash", "body", "properties_json", "properties_text", "fm_tags", "props", "error"], dtype=object)
 
-    hashes = files.select("path", F.sha2("content", 256).alias("source_hash"), "content")
-    parsed = hashes.select("path", "content").mapInPandas(parse, _PARSED)
-    return _shaped(parsed.join(hashes.select("path", "source_hash"), "path"))
+    return _shaped(files.select("path", "content").mapInPandas(parse, _PARSED))
 
 
 def _shaped(parsed: DataFrame) -> DataFrame:

@@ -89,11 +89,12 @@ def ranked(hits: DataFrame, limit: int) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), "path").limit(limit)
 
 
-def search(nodes: DataFrame, query: str, limit: int = 20, manifest: Manifest | None = None, **options) -> DataFrame:
-    """The exact mode: every node is scored; no stems, no freshness."""
+def search(nodes: DataFrame, query: str, limit: int | None = 20, manifest: Manifest | None = None, **options) -> DataFrame:
+    """The exact mode: every node is scored; no stems, no freshness. Without a limit all hits, in no order."""
     if manifest is not None:
         options = {"zones": manifest.zones, "boosts": manifest.search.get("boosts", []), "stop": stop_words(manifest.search)} | options
-    return ranked(score(nodes, query, **options), limit)
+    hits = score(nodes, query, **options)
+    return hits if limit is None else ranked(hits, limit)
 
 
 # -- postings ------------------------------------------------------------------------------------

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems, reference
+from . import problems, reference, vaults
 
 
 def queries() -> dict:
-    return reference.queries() | problems.queries()
+    return reference.queries() | vaults.queries() | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.oracle_sql() | problems.oracle_sql()
+    return reference.oracle_sql() | vaults.oracle_sql() | problems.oracle_sql()

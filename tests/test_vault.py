@@ -5,7 +5,7 @@ import os
 import pytest
 
 from notegraph import cli
-from notegraph.errors import MergeError, MutationError, QueryError
+from notegraph.errors import IndexStoreError, MergeError, MutationError, QueryError
 from notegraph.manifest import load_manifest
 from notegraph.operators import context, filters, graph, merge, mutate, search
 from notegraph.scan import scan
@@ -146,6 +146,45 @@ def test_index_refresh(spark, make_vault):
     assert store.open_index(spark, load_manifest(root)).parsed == 3
 
 
+def test_index_rewrites_only_touched_buckets(spark, make_vault, monkeypatch):
+    monkeypatch.setattr(store, "FILES_PER_BUCKET", 3)
+    root = make_vault({f"notes/n{i}.md": f"# N{i}\n\nwords {i} [[n{(i + 1) % 12}]]" for i in range(12)})
+    manifest = load_manifest(root)
+    first = store.open_index(spark, manifest)
+    assert first.pointer["buckets"] == 4
+    (root / "notes/n3.md").write_text("# Changed\n\nother words")
+    second = store.open_index(spark, manifest)
+    moved = [b for b, v in second.pointer["at"]["nodes"].items() if v == second.version]
+    assert len(moved) == 1 and second.parsed == 1 and set(second.pointer["at"]["nodes"]) == set(first.pointer["at"]["nodes"])
+    assert {(r.id, r.source_hash) for r in second.table("nodes").collect()} == {(r.id, r.source_hash) for r in scan(spark, root).nodes.collect()}
+    assert first.table("nodes").count() == 12  # readers of the version before still can read it
+    # all notes of a bucket gone
+    for r in second.table("nodes").select("path").collect():
+        (root / r.path).unlink()
+    third = store.open_index(spark, manifest)
+    assert third.table("nodes").count() == 0 and third.pointer["at"]["nodes"] == {} and third.counts().first().files == 0
+    (root / "notes/again.md").write_text("again")
+    assert store.open_index(spark, manifest).table("postings").count() > 0
+
+
+def test_index_lock_and_damage(spark, make_vault):
+    root = make_vault({"notes/a.md": "words"})
+    manifest = load_manifest(root)
+    first = store.open_index(spark, manifest)
+    with store._locked(first.folder):
+        with pytest.raises(IndexStoreError):
+            store.open_index(spark, manifest, wait=0.1)
+    part = next((first.folder / f"v{first.version}" / "edges").glob("*.parquet"))
+    part.write_bytes(b"x" * part.stat().st_size)
+    assert store.open_index(spark, manifest).version == first.version + 1
+    found, result = store.open_or_scan(spark, manifest)
+    assert found is not None and result.nodes.count() == 1
+    (found.folder / "lock").unlink()
+    (found.folder / "lock").mkdir()  # it can't be opened any more
+    found, result = store.open_or_scan(spark, manifest)
+    assert found is None and result.nodes.count() == 1
+
+
 def test_exact_and_indexed_agree(spark, make_vault):
     result = scan(spark, make_vault({f"notes/n{i}.md": f"release plan {'plan ' * (i % 4)} topic{i % 7}" for i in range(12)}))
     exact = [(r.id, r.score) for r in search.search(result.nodes, "release plan").collect()]
