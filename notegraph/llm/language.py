@@ -4,7 +4,8 @@ Features are hashed letter trigrams. A first set of machines tells the families
 languages within a family; all are linear, so a text's margins are the means of the weights of its
 trigrams, computed over whole arrays of code points. They are trained here, from a bounded sample of
 labelled rows and a few sentences per language. Labels that the first training contradicts are left out
-of the second.
+of the second. A text whose trigrams are too unlikely for the language it's given, or that has none, is in a language
+not known here: ``und``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .markup import strip
 FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "pt"), "slavic": ("ru", "uk")}
 LANGUAGES = tuple(x for f in FAMILIES.values() for x in f)
 BUCKETS = 8192
+UNKNOWN = "und"
 
 # Names and codes of the languages as labels spell them (ISO 639, English, own names).
 LABELS = {
@@ -139,6 +141,8 @@ class LanguageModel:
 
     weights: np.ndarray  # (machines, BUCKETS + 1); the last place is for what holds no letter
     slope: float
+    profiles: np.ndarray  # (languages, BUCKETS + 1); how much likelier than by chance a trigram is, as a logarithm
+    floor: float  # the least mean of it over a text of the language
     families: tuple[str, ...] = tuple(FAMILIES)
 
     @property
@@ -146,13 +150,17 @@ class LanguageModel:
         return machine_pairs()
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and confidence of each text; texts without a letter trigram get a confidence of 0."""
+        """Language and confidence of each text; ``und`` has a confidence of 0."""
         if not texts:
             return [], np.zeros(0)
         buckets, begins = trigram_buckets(texts)
         seen = np.add.reduceat((buckets < BUCKETS).astype(np.int64), begins)
         margins = np.stack([np.add.reduceat(w[buckets], begins) for w in self.weights], 1) / np.maximum(seen, 1)[:, None]
-        return decide(margins, self.slope, seen > 0)
+        said, trust = decide(margins, self.slope, seen > 0)
+        own = np.array([LANGUAGES.index(x) for x in said], np.int64)
+        likely = np.add.reduceat(self.profiles[np.repeat(own, np.diff(np.r_[begins, len(buckets)])), buckets], begins) / np.maximum(seen, 1)
+        known = (seen > 0) & (likely >= self.floor)
+        return [x if k else UNKNOWN for x, k in zip(said, known)], np.where(known, trust, 0.0)
 
 
 def machine_pairs() -> list[tuple[str, str]]:
@@ -186,6 +194,27 @@ def decide(margins: np.ndarray, slope: float, usable: np.ndarray) -> tuple[list[
     return language.tolist(), np.where(usable, trust, 0.0)
 
 
+def profiles_of(x: np.ndarray, codes: list[str]) -> np.ndarray:
+    """Per language the logarithm of each trigram bucket's share over the share by chance; ``x`` has the shares of texts."""
+    out = np.zeros((len(LANGUAGES), BUCKETS + 1), np.float32)
+    known = np.array(codes)
+    for i, code in enumerate(LANGUAGES):
+        own = x[known == code].sum(0) + 1e-3
+        out[i, :-1] = np.log(own / own.sum() * BUCKETS)
+    return out
+
+
+def likely_floor(x: np.ndarray, codes: list[str], share: float = 0.005, margin: float = 0.3) -> float:
+    """The likelihood that all but ``share`` of the texts reach under profiles of the other half of them, less ``margin``."""
+    place, got = np.arange(len(codes)) % 2, np.zeros(len(codes))
+    for half in (0, 1):
+        profile = profiles_of(x[place != half], [c for c, p in zip(codes, place) if p != half])
+        for i, code in enumerate(LANGUAGES):
+            own = np.flatnonzero((place == half) & (np.array(codes) == code))
+            got[own] = x[own] @ profile[i, :-1]
+    return float(np.quantile(got, share)) - margin
+
+
 def fit(rows: list[tuple[str, str]], rounds: int = 60, regular: float = 1e-4) -> LanguageModel:
     """Trains all machines at once on (language, text) rows and the seed sentences."""
     seeds = [(code, s) for code, text in SEEDS.items() for s in re.split(r"(?<=[.?!]) ", text)]
@@ -231,14 +260,19 @@ def fit(rows: list[tuple[str, str]], rounds: int = 60, regular: float = 1e-4) ->
     y = np.array([[(c == a or family[c] == a) * 1.0 - (c == b or family[c] == b) * 1.0 for a, b in pairs] for c in codes])
     own = y != 0
     slope = min((0.5, 1.0, 2.0, 4.0, 8.0), key=lambda s: float(np.log1p(np.exp(-np.clip(s * (margins * y)[own], -60, 60))).mean() + 0.01 * s))
-    return LanguageModel(np.ascontiguousarray(np.vstack([w, np.zeros((1, len(pairs)), np.float32)]).T), slope)
+    return LanguageModel(np.ascontiguousarray(np.vstack([w, np.zeros((1, len(pairs)), np.float32)]).T), slope, profiles_of(x, codes), likely_floor(x, codes))
 
 
-def train_from_nodes(nodes: DataFrame, max_rows: int = 3000, max_blocks: int = 400, min_words: int = 8) -> LanguageModel:
-    """Fits the model to text blocks of at most ``max_rows`` labelled nodes, at most ``max_blocks`` a language.
-    This bounded sample is only for fitting; it needn't be representative, as languages weigh alike."""
+def train_from_nodes(nodes: DataFrame, max_rows: int = 3000, max_blocks: int = 400, max_chars: int = 20_000, min_words: int = 8, seed: int = 5) -> LanguageModel:
+    """Fits the model to text blocks of at most ``max_rows`` random labelled rows, at most ``max_blocks`` a language.
+    Only this sample is bounded: of its texts the first ``max_chars`` characters are used. It needn't be representative, as languages weigh
+    alike, and labels of older rows of a path are as good as others."""
     said = F.get_json_object("properties_json", "$.lang")
-    sample = nodes.select(said.alias("lang"), "body").where(F.col("lang").isNotNull() & F.col("body").isNotNull()).limit(max_rows).collect()
+    place = F.pmod(F.xxhash64(F.lit(seed), "path", "indexed_at"), F.lit(1 << 30))
+    # a cut at four times the share wanted keeps each task's part of the sample small
+    cut = min(1 << 30, (4 * max_rows * (1 << 30)) // max(1, nodes.count()) + 1)
+    labelled = nodes.where(place < cut).select(said.alias("lang"), F.substring("body", 1, max_chars).alias("body"), place.alias("place"), "path").where(F.col("lang").isNotNull() & F.col("body").isNotNull())
+    sample = labelled.orderBy("place", "path", "body").limit(max_rows).collect()
     rows: dict[str, list[tuple[str, str]]] = {}
     for r in sample:
         code = label_code(r.lang)
@@ -277,7 +311,7 @@ def _identified(nodes: DataFrame, model: LanguageModel, min_words: int, part_cha
         fallback = [" ".join(x for x in (f["title"].iloc[i], strip(f["body"].iloc[i] or "")) if x) for i in bare]
         said, trust = model.predict(fallback)
         whole: list[dict | None] = []
-        rest = {i: (lang, sure) for i, lang, sure in zip(bare, said, trust.tolist())}
+        rest = {i: (lang, sure, any(map(str.isalpha, text))) for i, lang, sure, text in zip(bare, said, trust.tolist(), fallback)}
         for i in range(len(f)):
             if segments[i]:
                 words: dict[str, list[float]] = {}
@@ -288,8 +322,8 @@ def _identified(nodes: DataFrame, model: LanguageModel, min_words: int, part_cha
                 lang, (n, sum_) = max(words.items(), key=lambda x: (x[1][0], x[0]))
                 whole.append({"lang": lang, "confidence": sum_ / sum(x[0] for x in words.values())})
             else:
-                lang, sure = rest[i]
-                whole.append({"lang": lang, "confidence": sure} if sure > 0 else None)
+                lang, sure, lettered = rest[i]
+                whole.append({"lang": lang, "confidence": sure} if lettered else None)
         return pd.DataFrame(
             {
                 "path": f["path"].tolist(),
@@ -339,7 +373,8 @@ def node_segments(nodes: DataFrame, model: LanguageModel | None = None, min_word
 
 def mislabelled(nodes: DataFrame, model: LanguageModel | None = None, min_words: int = 8) -> DataFrame:
     """id, lang: the languages of the text blocks of current nodes whose label is missing, says nothing or names
-    another one, or which mix several."""
-    rows = node_languages(nodes, model, min_words).where(F.size("languages") > 0)
+    another one, or which mix several. Blocks in a language not known here don't count."""
+    known = F.filter("languages", lambda x: x != UNKNOWN)
+    rows = node_languages(nodes, model, min_words).withColumn("languages", known).where(F.size("languages") > 0)
     wrong = F.col("label").isNull() | (F.size("languages") > 1) | (F.col("label") != F.col("languages")[0])
     return rows.where(wrong & F.col("id").isNotNull()).select("id", F.explode("languages").alias("lang")).distinct()

@@ -1,13 +1,14 @@
 """Mixing sources to target shares of tokens, by Sainte-Laguë apportionment of equal-token blocks.
 
-The total is cut into blocks of ``block_tokens`` tokens. The blocks of a mix go to its sources by the highest
-quotients, then those of a source to its shards, which gives every shard an integer quota. Within a
-shard documents stand in a seeded order; a quota takes the shard as a whole as often as it fits,
-and the rest from the front. A document is the unit, so a quota may be passed by less than a document.
+Each source is cut into shards of documents, each shard, in a seeded order, into blocks of ``block_tokens`` tokens. The
+blocks of a mix go to its sources by the highest quotients, then those of a source to its shards, which gives every shard an
+integer quota. A quota takes all blocks of its shard as often as it fits, and for the rest a run of blocks that begins at a
+seeded one. A document belongs to the block that it begins in, so a run may be off by part of a document at either end.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from ..session import Stored
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+UNCAPPED = 1 << 30
+#: A plan of more rows isn't broadcast but joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -98,47 +102,55 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray | None = None
 class Mixture:
     """Selections and shares of each mix; built once, read by ``selection`` and ``shares``."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, total_share: float = 0.5, block_tokens: int = 1024, shard_tokens: int = 1 << 20, max_shards: int = 4096, seed: int = 11, tokenizer: str = TOKENIZER, max_targets: int = 100_000):
-        """``total_tokens`` is the size of each mix; without it ``total_share`` of the tokens of all documents."""
+    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, total_share: float = 0.5, block_tokens: int = 1024, shard_tokens: int = 1 << 24, most_shards: int = 1_000_000, seed: int = 11, tokenizer: str = TOKENIZER, max_targets: int = 100_000):
+        """``total_tokens`` is the size of each mix; without it ``total_share`` of the tokens of all documents.
+
+        A shard holds about ``shard_tokens`` tokens or a ``most_shards``-th of all, whichever is more: the plan, with a row for each
+        mix and shard, is made on the driver, and a shard is ordered in one task.
+        """
         spark = documents.sparkSession
-        goals = targets.where("mix_id is not null and source is not null and target_share > 0").groupBy("mix_id", "source").agg(F.max("target_share").alias("share"), F.max(F.coalesce(F.col("max_repeats"), F.lit(1 << 30))).alias("cap")).limit(max_targets + 1).toPandas()
+        goals = targets.where("mix_id is not null and source is not null and target_share > 0").groupBy("mix_id", "source").agg(F.max("target_share").alias("share"), F.max(F.coalesce(F.col("max_repeats"), F.lit(UNCAPPED))).alias("cap")).limit(max_targets + 1).toPandas()
         if len(goals) > max_targets:
             raise ValueError(f"more than {max_targets} targets: the plan of a mix is made on the driver")
         goals = goals.sort_values(["mix_id", "source"]).reset_index(drop=True)
         sizes = Stored(token_sizes(documents, tokenizer), "sizes").df
-        self.total = int(total_tokens if total_tokens is not None else total_share * (sizes.agg(F.sum("tokens")).first()[0] or 0))
         names = spark.createDataFrame([(x,) for x in sorted(set(goals["source"]))] or [("",)], "source string")
-        of_source = {r.source: (r.tokens, r.docs) for r in sizes.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
-        shards = spark.createDataFrame([(s, int(min(max_shards, max(1, -(-n // shard_tokens))))) for s, (n, _) in of_source.items()], "source string, shards int")
-        placed = sizes.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
+        by_source = {r.source: r.tokens or 0 for r in sizes.join(F.broadcast(names), "source", "left").groupBy("source").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(names), "source").collect()}
+        every = sizes.agg(F.sum("tokens")).first()[0] or 0
+        self.total = int(total_tokens if total_tokens is not None else total_share * every)
+        share = max(shard_tokens, -(-every // most_shards))
+        shards = spark.createDataFrame([(s, max(1, -(-n // share))) for s, n in by_source.items()], "source string, shards bigint")
+        placed = sizes.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
         # a source's shards are many and alike in size, so no window holds a whole source
         order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-        running = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        self.placed = Stored(placed.withColumn("begin", running - F.col("tokens")).select("doc_id", "source", "shard", "tokens", "begin"), "placed").df
-        by_shard = self.placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).toPandas().sort_values(["source", "shard"])
-        held = {s: g for s, g in by_shard.groupby("source")}
+        begin = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+        self.placed = Stored(placed.withColumn("block", F.floor(begin / block_tokens)).select("doc_id", "source", "shard", "tokens", "block"), "placed").df
+        held = dict(list(self.placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).toPandas().sort_values(["source", "shard"]).groupby("source")))
         plan, self.goals = [], []
         for mix, g in goals.groupby("mix_id", sort=True):
             quota = sainte_lague(g["share"].to_numpy(), round(self.total / block_tokens))
-            for (_, row), blocks in zip(g.iterrows(), quota):
-                own = held.get(row["source"])
-                tokens = own["tokens"].to_numpy(np.int64) if own is not None else np.zeros(0, np.int64)
-                most = np.floor(tokens * float(row["cap"]) / block_tokens)
-                got = sainte_lague(tokens, int(blocks), most) if len(tokens) else np.zeros(0, np.int64)
-                available = int(min(float(tokens.sum()) * float(row["cap"]), 2**62))
-                self.goals.append((int(mix), row["source"], float(row["share"]), None if row["cap"] >= 1 << 30 else int(row["cap"]), int(blocks), int(got.sum()), available))
-                take = got * block_tokens
-                whole = take // np.maximum(tokens, 1)
-                for shard, n, t, k in zip(own["shard"] if own is not None else (), tokens, take, whole):
-                    if t:
-                        plan.append((int(mix), row["source"], int(shard), int(k), int(t - k * n)))
-        self.plan = spark.createDataFrame(plan, "mix_id int, source string, shard int, passes int, rest bigint")
+            for target, blocks in zip(g.itertuples(), quota.tolist()):
+                own = held.get(target.source, pd.DataFrame({"shard": [], "tokens": []}))
+                own = own[own["tokens"] > 0]
+                tokens = own["tokens"].to_numpy(np.int64)
+                size = -(-tokens // block_tokens)
+                got = sainte_lague(tokens, blocks, size * float(target.cap))
+                available = int(min(float(tokens.sum()) * float(target.cap), 2**62))
+                self.goals.append((int(mix), target.source, float(target.share), None if target.cap >= UNCAPPED else int(target.cap), blocks, int(got.sum()), available))
+                start = np.random.default_rng([seed, int(mix) & 0xFFFFFFFF, zlib.crc32(target.source.encode())]).integers(0, np.maximum(size, 1))
+                plan.append(pd.DataFrame({"mix_id": np.int32(mix), "source": target.source, "shard": own["shard"].to_numpy(np.int64), "size": size, "start": start, "passes": got // np.maximum(size, 1), "rest": got % np.maximum(size, 1)}))
+        rows = pd.concat(plan) if plan else pd.DataFrame({c: [] for c in ("mix_id", "source", "shard", "size", "start", "passes", "rest")})
+        self.plan_rows = len(rows)
+        self.plan = Stored(spark.createDataFrame(rows, "mix_id int, source string, shard bigint, size bigint, start bigint, passes bigint, rest bigint"), "plan").df
 
     def selection(self) -> DataFrame:
         """mix_id, doc_id, source, tokens, repeats (1 or more) of each document in each mix."""
-        rows = self.placed.join(F.broadcast(self.plan), ["source", "shard"])
-        repeats = F.col("passes") + (F.col("begin") < F.col("rest")).cast("int")
-        return rows.select("mix_id", "doc_id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0")
+        plan = F.broadcast(self.plan) if self.plan_rows <= BROADCAST_ROWS else self.plan
+        rows = self.placed.join(plan, ["source", "shard"])
+        # documents without tokens at the end of a shard may begin a block beyond the last
+        chosen = F.pmod(F.least("block", F.col("size") - 1) - F.col("start"), F.col("size")) < F.col("rest")
+        repeats = F.col("passes") + chosen.cast("int")
+        return rows.select("mix_id", "doc_id", "source", "tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
 
     def shares(self) -> DataFrame:
         """One row per target: quota and blocks given, tokens reached, their share of the requested total and

@@ -1,4 +1,5 @@
 import collections
+import dataclasses
 import json
 import math
 import random
@@ -193,6 +194,15 @@ def test_held_out_sentences(model):
     assert said[:8] == list(held) and (trust[:8] > 0.5).all() and (trust[8:] == 0).all() and model.predict([])[0] == []
 
 
+def test_unknown_languages():
+    """Languages that the model wasn't trained on, and scripts it has no features for."""
+    # so few texts leave the calibrated floor low; at 0 a text has to be likelier than by chance
+    model = dataclasses.replace(language.fit([(c, s) for c, s in SENTENCES.items() for _ in range(20)]), floor=0.0)
+    others = ["Det gamla huset i slutet av vår gata såldes förra veckan till en ung familj.", "Stary dom na końcu naszej ulicy został w zeszłym tygodniu sprzedany młodej rodzinie.", "A régi házat az utcánk végén múlt héten eladták egy fiatal családnak.", "\u6211\u4eec\u8857\u9053\u5c3d\u5934\u7684\u8001\u623f\u5b50\u4e0a\u5468\u5356\u7ed9\u4e86"]
+    said, trust = model.predict(others + list(SENTENCES.values()))
+    assert said == ["und"] * 4 + list(SENTENCES) and (trust[:4] == 0).all() and (trust[4:] > 0.5).all()
+
+
 def test_labels():
     assert [language.label_code(x) for x in ("en", "en_GB", "English", "DEU", "pt-BR", "Ukrainian", "it")] == ["en", "en", "en", "de", "pt", "uk", "it"]
     assert [language.label_code(x) for x in (None, "", " ", "und", "n/a", 3, ["en"], "unknown", "-")] == [None] * 9
