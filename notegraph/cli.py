@@ -19,7 +19,7 @@ from .errors import NotegraphError, QueryError
 from .manifest import Manifest, find_root, load_manifest
 from .operators import context, filters, graph, merge, mutate, search
 from .scan import ScanResult, scan
-from .session import local_session
+from .session import local_session, scratch
 from .sources import store
 
 
@@ -263,7 +263,9 @@ def _plain(value: Any) -> Any:
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     try:
-        payload, code = Commands(args, spark or local_session()).run()
+        spark = spark or local_session()
+        with scratch(spark):
+            payload, code = Commands(args, spark).run()
     except (NotegraphError, OSError) as e:
         error = {"schemaVersion": "notegraph.error/v1", "error": {"code": getattr(e, "code", "io"), "message": str(e)}}
         print(emit(error, args.format), file=sys.stderr)

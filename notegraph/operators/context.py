@@ -55,18 +55,20 @@ def freshness_key(config: dict) -> Column:
 def grouped(hits: DataFrame, config: dict, limit: int) -> DataFrame:
     """The hits kept of the best ``limit`` groups: key, group_rank, place, group_score, count, representative, top_match.
 
-    Members stand active first, then newest, best, by path; a group ranks by its best score, then key.
+    Members stand active first, then newest, best, by path; a group ranks by its best score, then key. Groups are
+    summed up by an aggregation with partial results, so a group of any size is one row for each task; only the best groups'
+    members are looked at again, and of them each task passes on no more than a group shows.
     """
     status = F.col("status") if "status" in hits.columns else text_prop(config.get("statusField", "status"))
     keyed = hits.withColumn("key", group_key(config)).withColumn("fresh", freshness_key(config)).withColumn("inactive", F.coalesce(status.isin(list(config.get("inactiveStatuses", INACTIVE))), F.lit(False)))
-    members = Window.partitionBy("key")
-    place = F.row_number().over(members.orderBy("inactive", F.col("fresh").desc(), F.col("score").desc(), "path"))
-    rows = keyed.withColumn("place", place).withColumns({"group_score": F.max("score").over(members), "count": F.count(F.lit(1)).over(members)})
-    best = F.min(F.when(F.col("score") == F.col("group_score"), F.col("path"))).over(members)
-    first = F.min(F.when(F.col("place") == 1, F.col("path"))).over(members)
-    rows = rows.withColumn("representative", first).withColumn("top_match", F.when(best != first, best))
-    rows = rows.where(F.col("place") <= config.get("notesPerGroup", NOTES_PER_GROUP))
-    return rows.withColumn("group_rank", F.dense_rank().over(Window.orderBy(F.col("group_score").desc(), "key"))).where(F.col("group_rank") <= limit).drop("fresh", "inactive")
+    groups = keyed.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("worse"), "path")).alias("best"), F.count(F.lit(1)).alias("count"))
+    groups = groups.select("key", (-F.col("best.worse")).alias("group_score"), F.col("best.path").alias("best"), "count").orderBy(F.col("group_score").desc(), "key").limit(limit)
+    groups = groups.withColumn("group_rank", F.row_number().over(Window.orderBy(F.col("group_score").desc(), "key")))
+    members = keyed.join(F.broadcast(groups), "key")
+    order = Window.partitionBy("key").orderBy("inactive", F.col("fresh").desc(), F.col("score").desc(), "path")
+    rows = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.get("notesPerGroup", NOTES_PER_GROUP))
+    first = F.min(F.when(F.col("place") == 1, F.col("path"))).over(Window.partitionBy("key"))
+    return rows.withColumn("representative", first).withColumn("top_match", F.when(F.col("best") != F.col("representative"), F.col("best"))).drop("fresh", "inactive", "best")
 
 
 def packed(rows: DataFrame, order: list[str], budget: int = BUDGET) -> DataFrame:

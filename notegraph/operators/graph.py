@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..session import Stored
+from ..session import Stored, stored
+from .heavy import heavy_keys, spread_join
 
 
 def basename_index(ids: DataFrame) -> DataFrame:
@@ -19,20 +20,25 @@ def resolve(links: DataFrame, ids: DataFrame) -> DataFrame:
     """``links`` with target and resolved: the exact id, else the id as seen from the source's folder, else the only
     note of that name; else the target as written. Wikilinks to files that aren't notes are dropped.
 
-    Distinct targets are looked up, not links, so a popular target is one row in each join.
+    Links are stored, as making them is Python work. Distinct targets are looked up, and what is found comes back to the links by
+    joins that don't gather those of a popular target, or without one, in one task.
     """
+    links = stored(links, "links")
     known = ids.select("id").distinct()
+    hot = heavy_keys(links, "clean_target")
     wanted = links.select(F.explode(F.array("clean_target", "relative_target")).alias("wanted")).where("wanted is not null").distinct()
-    hits = wanted.join(known.withColumnRenamed("id", "wanted"), "wanted", "left_semi")
-    names = links.select("clean_target").distinct().withColumn("name", F.element_at(F.split("clean_target", "/"), -1)).join(basename_index(known), "name").select("clean_target", F.col("target").alias("by_name"))
-    rows = (
-        links.join(hits.select(F.col("wanted").alias("clean_target"), F.lit(True).alias("exact")), "clean_target", "left")
-        .join(hits.select(F.col("wanted").alias("relative_target"), F.lit(True).alias("near")), "relative_target", "left")
-        .join(names, "clean_target", "left")
+    hits = wanted.join(known.withColumnRenamed("id", "wanted"), "wanted", "left_semi").select("wanted", F.lit(True).alias("hit"))
+    targets = links.select("clean_target").where("clean_target is not null").distinct().withColumn("name", F.element_at(F.split("clean_target", "/"), -1))
+    found = (
+        targets.join(hits.select(F.col("wanted").alias("clean_target"), F.col("hit").alias("exact")), "clean_target", "left")
+        .join(basename_index(known).withColumnRenamed("target", "by_name"), "name", "left")
+        .select("clean_target", "exact", "by_name")
     )
-    found = F.when(F.col("exact"), F.col("clean_target")).when(F.col("near"), F.col("relative_target"))
-    rows = rows.where(found.isNotNull() | ~((F.col("syntax") == "wikilink") & F.col("foreign")))
-    best = F.coalesce(found, F.col("by_name"))
+    rows = spread_join(links, found, "clean_target", hot, F.struct("id", "pos"), ["exact", "by_name"])
+    rows = spread_join(rows, hits.select(F.col("wanted").alias("relative_target"), F.col("hit").alias("near")), "relative_target", heavy_keys(links, "relative_target"), F.struct("id", "pos"), ["near"])
+    best = F.when(F.col("exact"), F.col("clean_target")).when(F.col("near"), F.col("relative_target"))
+    rows = rows.where(best.isNotNull() | ~((F.col("syntax") == "wikilink") & F.col("foreign")))
+    best = F.coalesce(best, F.col("by_name"))
     return rows.select(*links.columns, F.coalesce(best, F.col("clean_target")).alias("target"), best.isNotNull().alias("resolved"))
 
 
@@ -43,9 +49,8 @@ def positioned(edges: DataFrame) -> DataFrame:
 
 
 def incoming(edges: DataFrame) -> DataFrame:
-    """target, n, edges (sorted array) for every target that any edge points at."""
-    edge = F.struct("source", "relation", "provenance")
-    return edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    """id, source, relation, provenance for every edge that points at ``id``, a row each: a popular target has millions."""
+    return edges.select(F.col("target").alias("id"), "source", "relation", "provenance").where("id is not null")
 
 
 def incoming_counts(edges: DataFrame) -> DataFrame:

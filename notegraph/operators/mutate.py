@@ -201,6 +201,15 @@ def vault_lock(manifest: Manifest):
             fcntl.flock(f, fcntl.LOCK_UN)
 
 
+def sync_folder(at: Path) -> None:
+    """The folder's entries on disk, so that a write outlives a crash."""
+    f = os.open(at, os.O_RDONLY)
+    try:
+        os.fsync(f)
+    finally:
+        os.close(f)
+
+
 def write_note(at: Path, data: bytes, create: bool) -> None:
     """Staged beside, synced, then linked (which never overwrites) or renamed into place."""
     fd, name = tempfile.mkstemp(dir=at.parent, prefix=".notegraph-")
@@ -215,6 +224,7 @@ def write_note(at: Path, data: bytes, create: bool) -> None:
         else:
             os.chmod(name, os.stat(at).st_mode & 0o777)
             os.replace(name, at)
+        sync_folder(at.parent)
     except FileExistsError:
         raise MutationError(f"{at.name} was created by someone else") from None
     finally:
@@ -222,7 +232,7 @@ def write_note(at: Path, data: bytes, create: bool) -> None:
             os.unlink(name)
 
 
-def _apply(spark, manifest: Manifest, path: str, after: bytes, expected: str | None, expected_digest: str, schema: str, plan_id: str, write=write_note) -> dict[str, Any]:
+def _apply(spark, manifest: Manifest, path: str, after: bytes, expected: str | None, expected_digest: str, schema: str, plan_id: str, write=write_note, validation: str | None = None) -> dict[str, Any]:
     """Writes, scans again, and takes the write back if the collection isn't as foreseen; a receipt tells which."""
     at = manifest.root / path
     before = at.read_bytes() if at.exists() else None
@@ -244,10 +254,11 @@ def _apply(spark, manifest: Manifest, path: str, after: bytes, expected: str | N
             if at.exists() and at.read_bytes() == after:  # nobody wrote since
                 if before is None:
                     at.unlink()
+                    sync_folder(at.parent)
                 else:
                     write_note(at, before, False)
                 state = "rolled-back"
-    core = {"schemaVersion": schema, "planId": plan_id, "path": path, "state": state, "before": text_hash(before) if before is not None else None, "after": text_hash(after), "vaultDigest": seen, "error": error}
+    core = {"schemaVersion": schema, "vaultId": manifest.vault_id, "manifestDigest": manifest.digest, "engineVersion": __version__, "planId": plan_id, **({"validationDigest": validation} if validation else {}), "expectedVaultDigest": expected_digest, "path": path, "state": state, "before": text_hash(before) if before is not None else None, "after": text_hash(after), "vaultDigest": seen, "error": error}
     return core | {"operationId": digest(core)}
 
 
@@ -293,7 +304,7 @@ def apply_merge_plan(spark, manifest: Manifest, plan: dict[str, Any], write=writ
         checked = validate_merge_plan(spark, manifest, plan)
         if not checked["valid"]:
             raise MergeError("the collection would not be valid")
-        return _apply(spark, manifest, plan["path"], _merge_candidate(manifest, plan), plan["inputs"]["ours"]["sourceHash"], checked["vaultDigest"], MERGE_RECEIPT_SCHEMA, plan["planId"], write)
+        return _apply(spark, manifest, plan["path"], _merge_candidate(manifest, plan), plan["inputs"]["ours"]["sourceHash"], checked["vaultDigest"], MERGE_RECEIPT_SCHEMA, plan["planId"], write, digest(checked))
 
 
 def load_json(path: str | Path) -> Any:

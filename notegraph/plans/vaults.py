@@ -142,11 +142,8 @@ def scan_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def incoming_edges(s: SparkSession, d: str) -> DataFrame:
-    """The edge list of each target, as one text."""
     e = T(s, d, "edges").where("src is not null and dst is not null").select(F.col("src").alias("source"), F.coalesce("field", F.lit("link")).alias("relation"), F.col("dst").alias("target"), "provenance").distinct()
-    got = graph.incoming(e)
-    text = F.array_join(F.transform("edges", lambda x: F.concat_ws(":", x["source"], x["relation"], x["provenance"])), ",")
-    return got.select("id", "n", F.sha2(text, 256).alias("edges"))
+    return graph.incoming(e)
 
 
 # -- notes made of documents ---------------------------------------------------------------------
@@ -394,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
             loops AS (SELECT relation, source AS id FROM reach WHERE source = target)
             SELECT relation, min(id) || '.md' AS path FROM (SELECT relation, id FROM loops UNION SELECT r.relation, r.source FROM reach r JOIN loops ON loops.relation = r.relation AND loops.id = r.target) GROUP BY relation""",
         "scan_summary": f"WITH {_WRITTEN}, {_ISSUES} SELECT (SELECT count(*) FROM cur) AS nodes, (SELECT count(*) FROM e) + (SELECT count(*) FROM ranked) AS edges, (SELECT count(*) FROM issues WHERE level = 'warning') AS warnings, (SELECT count(*) FROM issues WHERE level = 'error') = 0 AS valid",
-        "incoming_edges": "SELECT dst AS id, count(*) AS n, sha256(string_agg(concat_ws(':', src, coalesce(field, 'link'), provenance), ',' ORDER BY src, coalesce(field, 'link'), provenance)) AS edges FROM (SELECT DISTINCT src, dst, coalesce(field, 'link') AS field, provenance FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) GROUP BY dst",
+        "incoming_edges": "SELECT DISTINCT dst AS id, src AS source, coalesce(field, 'link') AS relation, provenance FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL",
         "vault_listing": f"WITH {_FILES} SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS size, false AS escaped FROM kept UNION ALL VALUES ('escaped.md', CAST(NULL AS BIGINT), true), ('folder.md', NULL, false), ('.hidden/dot.md', 6, false), ('inside.md', 6, false)",
         "vault_hashes": f"WITH {_FILES} SELECT id, source_hash FROM notes UNION ALL SELECT x, sha256('# Dot' || chr(10)) FROM (VALUES ('.hidden/dot'), ('inside')) v(x)",
         "vault_file_issues": f"""WITH {_FILES}, i AS (SELECT path, 'error' AS level, 'markdown.parse' AS code FROM kept WHERE lang IS NULL UNION ALL VALUES ('escaped.md', 'error', 'path.escape'), ('folder.md', 'error', 'markdown.parse'))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,16 +51,52 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_live: dict[str, SparkSession] = {}
+
+
+def release(spark: SparkSession, keep: set[str] | None = None) -> int:
+    """Deletes the stored tables of this process but those in ``keep``, and gives their number: for callers that are done with a result."""
+    gone = [p for p, s in _live.items() if p not in (keep or set())]
+    for path in gone:
+        _live.pop(path, None)
+        delete_path(spark, path)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that were stored within; what is read from them has to be written before."""
+    before = set(_live)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def _release_all() -> None:
+    try:
+        for spark in set(_live.values()):
+            release(spark)
+    except Exception:  # the session may be gone, and its tables with it
+        _live.clear()
+
+
+atexit.register(_release_all)
+
+
 class Stored:
-    """A table written to the shared folder; ``df`` reads it, ``drop()`` deletes it."""
+    """A table written to the shared folder; ``df`` reads it, ``drop()`` deletes it. Tables that nobody drops go with the
+    process, or with ``release`` and ``scratch``."""
 
     def __init__(self, df: DataFrame, name: str = "stage"):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _live[self.path] = spark
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        _live.pop(self.path, None)
         delete_path(self.spark, self.path)
 
 
