@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems, reference, vaults
+from . import details, problems, reference, vaults
 
 
 def queries() -> dict:
-    return reference.queries() | vaults.queries() | problems.queries()
+    return reference.queries() | details.queries() | vaults.queries() | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.oracle_sql() | vaults.oracle_sql() | problems.oracle_sql()
+    return reference.oracle_sql() | details.oracle_sql() | vaults.oracle_sql() | problems.oracle_sql()
