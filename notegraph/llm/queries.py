@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "p9_mix": lambda s, d: mixture.Mixture(t(s, d, "documents"), t(s, d, "mix_targets")).selection(),
         "p9_shares": lambda s, d: mixture.Mixture(t(s, d, "documents"), t(s, d, "mix_targets")).shares(),
         "p10_found": lambda s, d: repetition.repetitive(t(s, d, "documents")),
+        "p10_shares": lambda s, d: repetition.statistics(t(s, d, "documents")).select("doc_id", "n_words", "n_covered", F.round("repeated_share", 6).alias("repeated_share")),
         "p10_repetition": lambda s, d: repetition.repetition(t(s, d, "documents")).select("doc_id", "n_words", "n_covered", "repeated_share", "anomaly", "flagged"),
     }
 
@@ -53,9 +54,19 @@ single AS (SELECT item, count(*) AS n FROM kept GROUP BY 1),
 whole AS (SELECT count(DISTINCT path) AS n FROM kept),
 pairs AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS together FROM kept a JOIN kept b ON a.path = b.path AND a.item < b.item GROUP BY 1, 2)"""
 
+# A run of 8 words begins at p; it's a repeat if the same run has begun earlier; a word is covered if it lies in a repeat.
+_REPEATS = """
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, p, array_to_string(w[p : p + 7], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+repeats AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(p) OVER (PARTITION BY doc_id, run) AS first FROM runs) WHERE p > first),
+covered AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS x FROM repeats) GROUP BY doc_id),
+shares AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_covered FROM d LEFT JOIN covered USING (doc_id))"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_found": f"WITH {_REPEATS} SELECT doc_id FROM shares WHERE n_words > 0 AND n_covered * 10 >= 3 * n_words",
+        "p10_shares": f"WITH {_REPEATS} SELECT doc_id, n_words, n_covered, round(CAST(n_covered AS DOUBLE) / greatest(n_words, 1), 6) AS repeated_share FROM shares",
         "p2_found": f"""WITH {_COUNTED} SELECT term, 'rare' AS mark FROM totals WHERE t <= 4 AND df <= 2
             UNION SELECT term, 'common' FROM totals, whole WHERE df > 0.12 * files""",
         "p2_frequencies": f"""WITH {_COUNTED} SELECT term, CAST(t AS BIGINT) AS total, CAST(df AS BIGINT) AS files,
