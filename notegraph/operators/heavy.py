@@ -52,14 +52,15 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
 def spread_join(big: DataFrame, small: DataFrame, key: str, heavy: DataFrame, salt: Column, values: list[str]) -> DataFrame:
     """Left join of ``big`` with ``small`` (one row per ``key``) that never shuffles heavy rows by key.
 
-    The rows of ``small`` for ``heavy`` keys (at most as many as ``heavy`` has) are broadcast. Rows of
-    ``big`` with such a key, or none, then go to the shuffle under a key of their own made of ``salt``,
+    The rows of ``small`` for ``heavy`` keys (at most as many as ``heavy`` has) and for the null key are broadcast; null equals null.
+    Rows of ``big`` with such a key then go to the shuffle under a key of their own made of ``salt``,
     which matches nothing and is spread evenly, so one pass over ``big`` is enough.
     """
-    hot = F.broadcast(small.join(F.broadcast(heavy.select(F.col("key").alias(key))), key, "left_semi").select(F.col(key), *(F.col(v).alias(f"__hot_{v}") for v in values), F.lit(True).alias("__hot")))
+    known = small.join(F.broadcast(heavy.select(F.col("key").alias(key))), key, "left_semi").unionByName(small.where(F.col(key).isNull()))
+    hot = F.broadcast(known.select(F.col(key).alias("__hot_key"), *(F.col(v).alias(f"__hot_{v}") for v in values), F.lit(True).alias("__hot")))
     cold = small.select(F.struct(F.col(key).alias("k"), F.lit(-1).cast("long").alias("s")).alias("__key"), *values)
     is_hot = F.col("__hot").isNotNull() | F.col(key).isNull()
-    marked = big.join(hot, key, "left").withColumn(
+    marked = big.join(hot, F.col(key).eqNullSafe(F.col("__hot_key")), "left").withColumn(
         "__key", F.struct(F.when(~is_hot, F.col(key)).alias("k"), F.when(is_hot, F.pmod(F.xxhash64(salt), F.lit(1 << 20))).otherwise(F.lit(-1).cast("long")).alias("s"))
     )
     joined = marked.join(cold, "__key", "left")

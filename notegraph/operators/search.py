@@ -9,12 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.globs import matches
 from ..functions.stem import stem, stem_terms
 from ..manifest import DEFAULT_ZONES, Manifest
+from ..schemas import POSTINGS
 from .parse import prop
 
 # Fixed values of the ranking.
@@ -103,25 +103,29 @@ def search(nodes: DataFrame, query: str, limit: int | None = 20, manifest: Manif
 def build_postings(nodes: DataFrame, zones: list[dict] | tuple[dict, ...] = DEFAULT_ZONES, stop: list[str] | tuple[str, ...] = X.STOP_WORDS) -> DataFrame:
     """term, path, zone, count: the tokens of each zone as they are, and their stems where those differ.
 
-    Counts are formed within a node's row before anything is shuffled; stems are found once per distinct
-    token of an Arrow batch.
+    ``nodes`` has a row for each path, so all of a zone's counts are formed within its row: nothing is shuffled. An Arrow batch
+    is grouped as a whole, and stems are found once per distinct token of it.
     """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     fields = F.array(*(F.struct(F.lit(i).alias("zone"), F.filter(X.tokens(zone_text(z)), lambda t: ~t.isin(list(stop)) if stop else F.lit(True)).alias("tokens")) for i, z in enumerate(zones)))
-    words = nodes.select("path", F.explode(fields).alias("f")).select("path", "f.zone", F.explode("f.tokens").alias("term"))
-    exact = words.groupBy("path", "zone", "term").agg(F.count(F.lit(1)).cast("int").alias("count"))
-    stemmed = with_stems(exact).where("stem <> term").groupBy("path", "zone", F.concat(F.lit(STEM_PREFIX), F.col("stem")).alias("term")).agg(F.sum("count").cast("int").alias("count"))
-    return exact.unionByName(stemmed).select("term", "path", "zone", "count")
+    words = nodes.select("path", F.explode(fields).alias("f")).select("path", "f.zone", "f.tokens").where(F.size("tokens") > 0)
 
-
-def with_stems(rows: DataFrame, term: str = "term") -> DataFrame:
-    """``rows`` with the column stem of ``term``."""
-    import pyarrow as pa
+    def rows(b, row, term, count):
+        return pa.RecordBatch.from_arrays([term, b.column(0).take(row), b.column(1).take(row), count.cast(pa.int32())], names=["term", "path", "zone", "count"])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, stem_terms(b.column(b.schema.get_field_index(term)))], names=[*b.schema.names, "stem"])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("stem", T.StringType())]))
+            said = pa.table([pc.list_parent_indices(b.column(2)), pc.list_flatten(b.column(2))], names=["row", "term"]).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            row, term, count = (said.column(c).combine_chunks() for c in ("row", "term", "count_all"))
+            yield rows(b, row, term, count)
+            stem_ = stem_terms(term)
+            differs = pc.not_equal(stem_, term)
+            stems = pa.table([row.filter(differs), pc.binary_join_element_wise(STEM_PREFIX, stem_.filter(differs), ""), count.filter(differs)], names=["row", "term", "n"]).group_by(["row", "term"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+            yield rows(b, *(stems.column(c).combine_chunks() for c in ("row", "term", "n_sum")))
+
+    return words.mapInArrow(run, POSTINGS)
 
 
 def idf(n: Column | int, df: Column) -> Column:

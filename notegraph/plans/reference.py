@@ -215,13 +215,10 @@ def queries() -> dict:
         "search_phrase": lambda s, d: shown(doc_hits(s, d, "the merge plan")),
         "search_boosts": lambda s, d: shown(search.ranked(doc_hits(s, d, "search page", [{"path": "documents/meetings/*", "weight": 5}, {"kind": "de", "weight": 2}]), 50)),
         "search_stopwords": lambda s, d: shown(doc_hits(s, d, "the of and в на glossary")),
-        "search_vault_zones": lambda s, d: shown(search.score(nodes_with_props(s, d).withColumn("body", F.lit("")).withColumn("headings", F.array().cast("array<string>")), "release plan", [{"source": "stem", "weight": 12, "phraseWeight": 20}, {"source": "title", "weight": 9}, {"source": "path", "weight": 8}, {"source": "tags", "weight": 7}, {"source": "property", "field": "owner", "weight": 4}])),
         "postings_build": lambda s, d: doc_postings(s, d),
         "postings_df_idf": df_idf,
         "candidates_top200": candidates,
         "prefix_match": lambda s, d: given_postings(s, d).where(F.col("term").startswith("no") & ~F.col("term").startswith(search.STEM_PREFIX)).groupBy("term").agg(F.countDistinct("path").alias("files"), F.sum("count").alias("total")),
-        "stem_match": lambda s, d: search.stem_counts(search.build_postings(documents_as_nodes(s, d), DOC_ZONES[:1]), ["checking", "planned", "заметки"]),
-        "search_indexed": lambda s, d: shown(search.search_indexed(documents_as_nodes(s, d), Stored(search.build_postings(documents_as_nodes(s, d), DOC_ZONES), "postings").df, "planning checks", 20, AS_OF, zones=DOC_ZONES)),
         "freshness_rank": freshness_rank,
         "snippets_first_lines": lambda s, d: documents_as_nodes(s, d).select("doc_id", F.array_join(context.snippets(["glossary"], 2, 80, False), "\n").alias("snippets")),
         "context_group_topn": context_groups,
@@ -343,11 +340,6 @@ def oracle_sql() -> dict[str, str]:
         "search_phrase": _doc_search(["merge", "plan"], "the merge plan"),
         "search_boosts": _doc_search(["search", "page"], "search page", "CASE WHEN source = 'meetings' THEN 5 ELSE 0 END + CASE WHEN kind = 'de' THEN 2 ELSE 0 END", 50),
         "search_stopwords": _doc_search(["glossary"], "the of and в на glossary"),
-        "search_vault_zones": f"""WITH {_CURRENT}, x AS (SELECT path, lower(coalesce(stem, '')) AS s, lower(coalesce(title, '')) AS t, lower(path) AS p, lower(coalesce(array_to_string(tags, ' '), '')) AS g,
-                lower(coalesce(CASE WHEN json_type(properties_json, '$.owner') = 'VARCHAR' THEN json_extract_string(properties_json, '$.owner') ELSE CAST(json_extract(properties_json, '$.owner') AS VARCHAR) END, '')) AS o FROM cur),
-            y AS (SELECT path, 12 * ({_times('s', 'release', 1)} + {_times('s', 'plan', 1)}) + CASE WHEN contains(s, 'release plan') THEN 20 ELSE 0 END AS a, 9 * ({_times('t', 'release', 1)} + {_times('t', 'plan', 1)}) AS b,
-                8 * ({_times('p', 'release', 1)} + {_times('p', 'plan', 1)}) AS c, 7 * ({_times('g', 'release', 1)} + {_times('g', 'plan', 1)}) AS d, 4 * ({_times('o', 'release', 1)} + {_times('o', 'plan', 1)}) AS e FROM x)
-            SELECT path, CAST(a + b + c + d + e AS DOUBLE) AS score, concat_ws(',', CASE WHEN a > 0 THEN 'stem' END, CASE WHEN b > 0 THEN 'title' END, CASE WHEN c > 0 THEN 'path' END, CASE WHEN d > 0 THEN 'tags' END, CASE WHEN e > 0 THEN 'property:owner' END) AS zones FROM y WHERE a + b + c + d + e > 0""",
         "postings_build": f"WITH {_WORDS} SELECT term, path, zone, count FROM posted",
         "postings_df_idf": f"WITH {_WORDS} SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM posted GROUP BY term",
         "candidates_top200": f"""WITH {_GIVEN}, hit AS (SELECT *, CASE WHEN starts_with(term, 'note') THEN 1 ELSE 0 END + CASE WHEN starts_with(term, 'plan') THEN 1 ELSE 0 END AS factor FROM given WHERE zone < 7 AND NOT starts_with(term, 's:')),

@@ -337,7 +337,7 @@ _BLANK = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}]"
 _MASKED = "regexp_replace(regexp_replace(regexp_replace(b, '(?ms)^ {0,3}(?:```|~~~).*?^ {0,3}(?:```|~~~)[ \\t]*$', '', 'g'), '`+[^`\\n]*`+', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 _TYPE = "json_type(properties_json, '$.priority')"
 # an edge as it was written into a note, and where it leads
-_WRITTEN = f"""{_CURRENT}, w AS (SELECT DISTINCT src, dst, CASE WHEN starts_with(provenance, 'frontmatter') THEN field ELSE 'link' END AS relation, string_split(provenance, ':')[-1] AS how FROM edges WHERE src IN (SELECT id FROM cur) AND dst IS NOT NULL),
+_WRITTEN = f"""{_CURRENT}, w AS (SELECT src, dst, CASE WHEN starts_with(provenance, 'frontmatter') THEN field ELSE 'link' END AS relation, string_split(provenance, ':')[-1] AS how FROM (SELECT DISTINCT src, dst, field, provenance FROM edges WHERE src IN (SELECT id FROM cur) AND dst IS NOT NULL)),
 ids AS (SELECT id FROM cur), names AS (SELECT string_split(id, '/')[-1] AS name, min(id) AS target FROM ids GROUP BY 1 HAVING count(*) = 1),
 counted AS (SELECT *, count(*) OVER (PARTITION BY src, relation) AS n FROM w),
 live AS (SELECT * FROM counted WHERE NOT (relation IN ('parent', 'supersedes') AND n > 1)),

@@ -27,6 +27,9 @@ def test_heavy_keys_and_spread_join(spark):
     small = spark.createDataFrame([("hot", 1.0), ("k3", 2.0)], "k string, v double")
     got = spread_join(big, small, "k", heavy, F.col("i"), ["v"])
     assert got.count() == 1001 and got.agg(F.sum("v")).first()[0] == 502.0 and got.columns == ["k", "i", "v"]
+    # null equals null, and its rows aren't gathered
+    got = spread_join(big, small.unionByName(spark.createDataFrame([(None, 3.0)], "k string, v double")), "k", heavy, F.col("i"), ["v"])
+    assert got.count() == 1001 and got.where("k is null").first().v == 3.0
 
 
 def brute(edges):

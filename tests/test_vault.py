@@ -10,6 +10,7 @@ from notegraph.manifest import load_manifest
 from notegraph.operators import context, filters, graph, merge, mutate, search
 from notegraph.scan import scan
 from notegraph.sources import store
+from notegraph.streaming import refresh
 
 
 def codes(result):
@@ -185,6 +186,22 @@ def test_index_lock_and_damage(spark, make_vault):
     assert found is None and result.nodes.count() == 1
 
 
+def test_postings_stream(spark, tmp_path):
+    """Batches in turn; the result is that of the last state, before and after compaction."""
+    kind = "path string, indexed_at int, deleted boolean, body string"
+    batches = [[("a.md", 1, None, "one two two"), ("b.md", 1, False, "three")], [("a.md", 2, None, "four"), ("a.md", 1, None, "late")], [("b.md", 3, True, ""), ("c.md", 3, None, "five five")], [("c.md", 4, None, "six")]]
+    source, folder = tmp_path / "source", f"{tmp_path}/postings"
+    zones = [{"source": "body", "weight": 1}]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{source}/{i}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(source))
+        refresh.postings_stream(stream, folder, f"{tmp_path}/checkpoint", zones, compact_every=2).trigger(availableNow=True).start().awaitTermination()
+        got = {(r.term, r.path, r["count"]) for r in refresh.current_postings(spark, folder).where("term not like 's:%'").collect()}
+        assert got == [{("one", "a.md", 1), ("two", "a.md", 2), ("three", "b.md", 1)}, {("four", "a.md", 1), ("three", "b.md", 1)}, {("four", "a.md", 1), ("five", "c.md", 2)}, {("four", "a.md", 1), ("six", "c.md", 1)}][i]
+    assert refresh._numbers(spark, f"{folder}/base") == [1, 3] and refresh._numbers(spark, f"{folder}/postings") == [2, 3]
+    assert refresh.current_postings(spark, f"{folder}/none").count() == 0
+
+
 def test_exact_and_indexed_agree(spark, make_vault):
     result = scan(spark, make_vault({f"notes/n{i}.md": f"release plan {'plan ' * (i % 4)} topic{i % 7}" for i in range(12)}))
     exact = [(r.id, r.score) for r in search.search(result.nodes, "release plan").collect()]
