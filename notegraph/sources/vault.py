@@ -1,7 +1,7 @@
 """A folder of notes as a Spark data source: all files, dot-folders too, with exact nanosecond times.
 
 Options: ``root``, ``ignore`` (JSON list of globs), ``content`` (``false`` for stats only), ``chunk`` (files per
-partition). A folder is skipped as a whole if a pattern ignores all of it.
+partition), ``folders`` (from how many open folders on the walk goes on in tasks). A folder is skipped as a whole if a pattern ignores all of it.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from ..manifest import Manifest
 from ..schemas import FILES
 
 
-def list_notes(root: str, ignore: list[str]) -> list[str]:
-    """Vault-relative paths of everything named ``*.md`` that no pattern ignores, in order."""
+def walk(root: str, ignore: list[str], folders: list[str], most: int | None = None) -> tuple[list[str], list[str]]:
+    """Vault-relative paths of everything named ``*.md`` under ``folders`` that no pattern ignores, and the folders still to be
+    walked: none, or as soon as there are ``most`` of them those."""
     whole = {g[:-3] for g in ignore if g.endswith("/**") and not set("*?") & set(g[:-3])}
     found: list[str] = []
-    open_folders = [""]
-    while open_folders:
-        folder = open_folders.pop()
+    open_folders = list(folders)
+    while open_folders and (most is None or len(open_folders) < most):
+        folder = open_folders.pop(0)
         try:
             entries = list(os.scandir(os.path.join(root, folder)))
         except OSError:
@@ -35,27 +36,36 @@ def list_notes(root: str, ignore: list[str]) -> list[str]:
                 open_folders.append(path)
             if e.name.endswith(".md") and not any(path_matches(path, g) for g in ignore):
                 found.append(path)
-    return sorted(found)
+    return found, open_folders
+
+
+def list_notes(root: str, ignore: list[str]) -> list[str]:
+    """All notes of a collection, in order."""
+    return sorted(walk(root, ignore, [""])[0])
 
 
 class _Chunk(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], folders: list[str]):
+        self.paths, self.folders = paths, folders
 
 
 class _Reader(DataSourceReader):
+    """The driver walks the upper folders only; those below are walked by the tasks that read them."""
+
     def __init__(self, options: dict):
         self.root = os.path.realpath(options["root"])
         self.ignore = json.loads(options.get("ignore", "[]"))
         self.content = options.get("content", "true") != "false"
         self.chunk = int(options.get("chunk", "500"))
+        self.folders = int(options.get("folders", "256"))
 
     def partitions(self) -> list[InputPartition]:
-        paths = list_notes(self.root, self.ignore)
-        return [_Chunk(paths[i : i + self.chunk]) for i in range(0, len(paths), self.chunk)] or [_Chunk([])]
+        paths, below = walk(self.root, self.ignore, [""], self.folders)
+        paths.sort()
+        return [_Chunk(paths[i : i + self.chunk], []) for i in range(0, len(paths), self.chunk)] + [_Chunk([], [f]) for f in below] or [_Chunk([], [])]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
-        for path in partition.paths:
+        for path in sorted([*partition.paths, *(walk(self.root, self.ignore, partition.folders)[0] if partition.folders else [])]):
             full = os.path.join(self.root, path)
             real = os.path.realpath(full)
             escaped = os.path.commonpath([self.root, real]) != self.root

@@ -10,6 +10,7 @@ from notegraph.manifest import load_manifest
 from notegraph.operators import context, filters, graph, merge, mutate, search
 from notegraph.scan import scan
 from notegraph.sources import store
+from notegraph.sources.vault import list_notes, read_files
 from notegraph.streaming import refresh
 
 
@@ -186,6 +187,18 @@ def test_index_lock_and_damage(spark, make_vault):
     assert found is None and result.nodes.count() == 1
 
 
+def test_tasks_walk_the_lower_folders(spark, make_vault):
+    """The same files whether the driver walks all folders or only the uppermost."""
+    notes = {f"notes/a{i}/b{j}/n{k}.md": "x" for i in range(3) for j in range(2) for k in range(2)} | {"notes/top.md": "x", "out/x/gone.md": "x"}
+    manifest = load_manifest(make_vault(notes, ignore=["out/**", "notes/a0/b1/*1.md"]))
+    want = sorted(p for p in notes if not p.startswith("out/") and p != "notes/a0/b1/n1.md")
+    assert list_notes(str(manifest.root), manifest.ignores) == want
+    read_files(spark, manifest)  # registers the source
+    for folders in (1, 2, 4, 256):
+        df = spark.read.format("notes").option("root", str(manifest.root)).option("ignore", json.dumps(manifest.ignores)).option("folders", folders).load()
+        assert sorted(r.path for r in df.select("path").collect()) == want
+
+
 def test_postings_stream(spark, tmp_path):
     """Batches in turn; the result is that of the last state, before and after compaction."""
     kind = "path string, indexed_at int, deleted boolean, body string"
