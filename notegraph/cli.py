@@ -250,10 +250,44 @@ def render_text(value: Any, indent: int = 0) -> str:
     return f"{pad}{value}"
 
 
+def _issue_lines(issues: list[dict[str, Any]]) -> list[str]:
+    return [f"{i['level']}: {i.get('path') or '-'}: {i['code']}: {i['message']}" for i in issues]
+
+
+def _summary_line(s: dict[str, Any]) -> str:
+    return f"{s['nodes']} nodes, {s['edges']} edges, {s['errors']} errors, {s['warnings']} warnings: {'valid' if s['valid'] else 'not valid'}"
+
+
+def _hit_lines(h: dict[str, Any]) -> list[str]:
+    return [f"{h['score']}\t{h['path']}\t{h['title']}", *(f"    {x}" for x in h.get("snippets", ()))]
+
+
+def _context_lines(p: dict[str, Any]) -> list[str]:
+    groups = p["groups"] or [{"hits": p["hits"]}]
+    head = lambda g: [f"[{g['key']}] {g['count']} notes, score {g['score']}"] if "key" in g else []
+    b = p["budget"]
+    return [x for g in groups for x in (*head(g), *(y for h in g["hits"] for y in _hit_lines(h)))] + [f"{b['usedCharacters']} of {b['maxCharacters']} characters" + (", cut" if b["truncated"] else "")]
+
+
+#: How reports read as text, by the name in their schema; others are shown as nested values.
+TEXTS = {
+    "scan": lambda p: [f"{n['path']}\t{n['kind']}\t{n['title']}" for n in p["nodes"]] + _issue_lines(p["issues"]) + [_summary_line(p["summary"])],
+    "validate": lambda p: _issue_lines(p["issues"]) + [_summary_line(p["summary"])],
+    "query": lambda p: [f"{n['path']}\t{n['kind']}\t{n['title']}" for n in p["nodes"]] + [f"{p['count']} nodes"],
+    "search": lambda p: [x for h in p["hits"] for x in _hit_lines(h)] + [f"{len(p['hits'])} hits ({p['mode']})"],
+    "context": _context_lines,
+    "neighbors": lambda p: [f"{n['distance']}\t{n['path']}\t{', '.join(e['field'] + ' ' + e['direction'] for e in n['edges'])}" for n in p["neighbors"]] + (["more are left out"] if p["truncated"] else []),
+    "error": lambda p: [f"error: {p['error']['code']}: {p['error']['message']}"],
+}
+
+
 def emit(payload: dict[str, Any] | str, form: str) -> str:
     if isinstance(payload, str):
         return payload
-    return json.dumps(payload, sort_keys=True, indent=2, ensure_ascii=False, default=_plain) if form == "json" else render_text(payload)
+    if form == "json":
+        return json.dumps(payload, sort_keys=True, indent=2, ensure_ascii=False, default=_plain)
+    shown = TEXTS.get(payload.get("schemaVersion", "").partition("/")[0].rpartition(".")[2])
+    return "\n".join(shown(payload)) if shown else render_text(payload)
 
 
 def _plain(value: Any) -> Any:

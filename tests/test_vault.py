@@ -187,6 +187,20 @@ def test_index_lock_and_damage(spark, make_vault):
     assert found is None and result.nodes.count() == 1
 
 
+def test_texts_of_reports():
+    hit = {"score": 3, "path": "a.md", "title": "A", "snippets": ["line"]}
+    budget = {"usedCharacters": 5, "maxCharacters": 9, "truncated": True}
+    text = lambda name, **p: cli.emit({"schemaVersion": f"notegraph.{name}/v1", **p}, "text")
+    assert text("search", hits=[hit], mode="exact") == "3\ta.md\tA\n    line\n1 hits (exact)"
+    assert text("context", hits=[hit], groups=[], budget=budget).splitlines()[-1] == "5 of 9 characters, cut"
+    assert text("context", hits=[hit], groups=[{"key": "K", "count": 2, "score": 3, "hits": [hit]}], budget=budget).startswith("[K] 2 notes, score 3\n3\ta.md")
+    summary = {"nodes": 1, "edges": 0, "errors": 1, "warnings": 0, "valid": False}
+    assert text("validate", issues=[{"level": "error", "code": "c", "message": "m", "path": None}], summary=summary) == "error: -: c: m\n1 nodes, 0 edges, 1 errors, 0 warnings: not valid"
+    assert text("error", error={"code": "query", "message": "m"}) == "error: query: m"
+    assert text("neighbors", neighbors=[{"distance": 1, "path": "a.md", "edges": [{"field": "f", "direction": "in"}]}], truncated=False) == "1\ta.md\tf in"
+    assert text("doctor", root="x", kinds=["k"]) == "schemaVersion: notegraph.doctor/v1\nroot: x\nkinds:\n  - k"
+
+
 def test_tasks_walk_the_lower_folders(spark, make_vault):
     """The same files whether the driver walks all folders or only the uppermost."""
     notes = {f"notes/a{i}/b{j}/n{k}.md": "x" for i in range(3) for j in range(2) for k in range(2)} | {"notes/top.md": "x", "out/x/gone.md": "x"}
