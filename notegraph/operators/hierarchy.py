@@ -163,19 +163,29 @@ def several_parents(edges: DataFrame) -> DataFrame:
     return parent_links(edges).where("n_parents > 1").select("id", "parent")
 
 
-def descendants(tree: DataFrame, of: DataFrame, cell: int = 4096) -> DataFrame:
+def descendants(tree: DataFrame, of: DataFrame, cell: int = 64, most_cells: int = 4096) -> DataFrame:
     """ancestor, id, distance for all descendants of the nodes ``of`` (column id).
 
-    The range join is an equality join on cells of the preorder: a queried range touches the cells it spans, a
-    node lies in one. A node is no descendant of itself.
+    The range join is an equality join on cells of the preorder within a tree: a queried range touches the cells it spans, a
+    node lies in one. Ranges of more than ``most_cells`` cells use cells as many times larger, so that no range becomes a
+    long list, and a node only meets its ancestors and the ranges near it. A node is no descendant of itself.
     """
     wanted = tree.join(of.select("id").distinct(), "id", "left_semi").where("size > 1")
-    spans = wanted.select(F.col("id").alias("ancestor"), F.col("depth").alias("top"), F.col("first").alias("low"), F.col("last").alias("high"), F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))).alias("cell"))
-    inner = tree.where("first is not null").select("id", "depth", F.col("first").alias("at"), F.floor(F.col("first") / cell).alias("cell"))
-    return spans.join(inner, "cell").where("at > low and at <= high").select("ancestor", "id", (F.col("depth") - F.col("top")).alias("distance"))
-
-
-def ancestors(tree: DataFrame, of: DataFrame, cell: int = 4096) -> DataFrame:
+    most, sizes = wanted.agg(F.max("size")).first()[0] or 0, [cell]
+    while sizes[-1] * most_cells < most:
+        sizes.append(sizes[-1] * most_cells)
+    level = F.lit(0)
+    for k in range(1, len(sizes)):
+        level = F.when(F.col("size") > sizes[k - 1] * most_cells, k).otherwise(level)
+    width = lambda at: F.element_at(F.lit(sizes), at + 1)
+    spans = wanted.withColumn("level", level).select(
+        F.col("id").alias("ancestor"), "root", F.col("depth").alias("top"), F.col("first").alias("low"), F.col("last").alias("high"), "level", F.explode(F.sequence(F.floor(F.col("first") / width(F.col("level"))), F.floor(F.col("last") / width(F.col("level"))))).alias("cell")
+    )
+    inner = tree.where("first is not null").select("id", "root", "depth", F.col("first").alias("at"), F.explode(F.lit(list(range(len(sizes))))).alias("level")).withColumn("cell", F.floor(F.col("at") / width(F.col("level"))))
+    return spans.join(inner, ["root", "level", "cell"]).where("at > low and at <= high").select("ancestor", "id", (F.col("depth") - F.col("top")).alias("distance"))
+
+
+def ancestors(tree: DataFrame, of: DataFrame, cell: int = 64) -> DataFrame:
     """id, ancestor, distance for all ancestors of the nodes ``of`` (column id): the ranges that hold the node's place."""
     pairs = descendants(tree, tree.where("size > 1"), cell)
     return pairs.join(of.select("id").distinct(), "id", "left_semi").select("id", "ancestor", "distance")

@@ -73,10 +73,11 @@ def test_hierarchy(spark):
             for a in path.split(" > ")[:-1]:
                 under.setdefault(a, set()).add(k)
     got = {}
-    for r in hierarchy.descendants(tree, tree, cell=7).collect():
+    for r in hierarchy.descendants(tree, tree, cell=2, most_cells=3).collect():
         got.setdefault(r.ancestor, set()).add(r.id)
         assert r.distance == rows[r.id].depth - rows[r.ancestor].depth
     assert got == under and rows["hub"].size == 301
+    assert hierarchy.descendants(tree, tree).count() == sum(map(len, under.values())) and hierarchy.descendants(tree, tree.where("id = 'l1'")).count() == 0
     for r in rows.values():
         if r.first is not None:
             assert r.last - r.first + 1 == r.size == len(under.get(r.id, ())) + 1
