@@ -185,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
             used AS (SELECT * FROM hit WHERE factor > 0), df AS (SELECT term, count(DISTINCT path) AS df FROM used GROUP BY term), n AS (SELECT count(DISTINCT path) AS n FROM files),
             s AS (SELECT path, sum([12, 9, 8, 7, 4, 4, 1][zone + 1] * least(count, [1, 1, 1, 1, 1, 1, 6][zone + 1]) * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * factor) AS v FROM used JOIN df USING (term), n GROUP BY path)
             SELECT path, round(v, 6) AS candidate_score FROM s ORDER BY round(v, 9) DESC, path LIMIT 200""",
+        "body_tags_links": f"WITH x AS (SELECT doc_id, text AS b FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, {vaults._MASKED} AS t FROM x) SELECT doc_id, CAST(len(regexp_extract_all(t, '!?\\[\\[([^\\]]+)\\]\\]')) AS INTEGER) AS wikilinks, CAST(len(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_])#([A-Za-z0-9_/-]+)')) AS INTEGER) AS tags FROM m",
         "search_indexed": _indexed_sql(),
         "search_vault_zones": _zones_sql(),
         "clean_targets": _targets_sql(),
