@@ -7,6 +7,11 @@ import re
 from urllib.parse import unquote, urlsplit
 
 
+# Paths that need no cleaning: names of letters, digits and hyphens, and perhaps the suffix of a note.
+_SIMPLE_PATHS = re.compile(r"[A-Za-z0-9_-]+(?:/[A-Za-z0-9_-]+)*")
+_SIMPLE = re.compile(rf"({_SIMPLE_PATHS.pattern})(?:\.md)?")
+
+
 def _norm(path: str) -> str:
     path = posixpath.normpath(path.lstrip("/")) if path.strip("/") else ""
     return "" if path == "." else path
@@ -31,6 +36,8 @@ def clean_target(raw: str, syntax: str) -> tuple[str, str, bool] | None:
             text = text[1 : text.index(">")]
         else:
             text = re.split(r"[ \t]+[\"'(]", text, maxsplit=1)[0].strip()
+    if simple := _SIMPLE.fullmatch(text):
+        return simple[1], syntax, False
     try:
         parts = urlsplit(text)
     except ValueError:
@@ -50,5 +57,7 @@ def clean_target(raw: str, syntax: str) -> tuple[str, str, bool] | None:
 
 def relative_target(source_id: str, target: str) -> str | None:
     """The target as seen from the folder of ``source_id``; null if that leads out of the collection."""
+    if _SIMPLE_PATHS.fullmatch(source_id) and _SIMPLE_PATHS.fullmatch(target):
+        return source_id[: source_id.rfind("/") + 1] + target
     joined = posixpath.normpath(posixpath.join(posixpath.dirname(source_id), target))
     return None if joined == ".." or joined.startswith("../") else joined

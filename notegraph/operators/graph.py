@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -98,19 +101,45 @@ def neighbors(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 1, d
     return rows.where(F.col("rank") <= limit).orderBy("rank").drop("rank")
 
 
-def cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _least_before_loops(links: pa.Table, labels: pa.Table) -> pa.Table:
+    """One row, relation and id, if one of ``links`` leads to a loop: the least label of the nodes left when those without a way on are peeled off."""
+    n = links.num_rows
+    ends = pa.chunked_array([*links["source"].chunks, *links["target"].chunks], links.schema.field("source").type).cast(pa.large_string()).combine_chunks().dictionary_encode()
+    codes = ends.indices.to_numpy()
+    source, target = codes[:n], codes[n:]
+    ways = np.bincount(source, minlength=len(ends.dictionary)).tolist()
+    order = np.argsort(target, kind="stable")
+    begin = np.searchsorted(target[order], np.arange(len(ways) + 1)).tolist()
+    before = source[order].tolist()
+    sinks = [x for x, k in enumerate(ways) if k == 0]
+    while sinks:
+        x = sinks.pop()
+        for y in before[begin[x] : begin[x + 1]]:
+            ways[y] -= 1
+            if not ways[y]:
+                sinks.append(y)
+    left = ends.dictionary.filter(pa.array([k > 0 for k in ways], pa.bool_()))
+    least = pc.min(labels["least"].filter(pc.is_in(labels["id"].cast(pa.large_string()), left))).as_py()
+    found = [] if least is None else [least]
+    return pa.table({"relation": pa.array(labels["relation"].to_pylist()[:1] if found else [], pa.string()), "id": pa.array(found, pa.string())})
+
+
+def cycles(edges: DataFrame, max_rounds: int = 10_000, room: int = 1_000_000) -> DataFrame:
     """relation, id: for each relation with a loop the least node from which one can be reached.
 
     ``edges`` has relation, source, target. Nodes without a way on are peeled off until every node has one; nodes
     nothing points at hand their least id on and go, too. A node with a single way on jumps over the next one if
     that has a single way on as well, so chains and trees of any depth take logarithmically many rounds. Each round is
-    a table in the shared folder; no group is gathered.
+    a table in the shared folder. As soon as links and labels have at most ``room`` rows, a task a relation peels off the rest.
     """
     step = edges.select("relation", "source", "target").where("source is not null and target is not null").distinct()
     names = step.select("relation", F.explode(F.array("source", "target")).alias("id")).distinct()
     links, labels = Stored(step, "links"), Stored(names.select("relation", "id", F.col("id").alias("least")), "labels")
     for _ in range(max_rounds):
         e, lab = links.df, labels.df
+        if e.count() + lab.count() <= room:
+            result = e.groupBy("relation").cogroup(lab.groupBy("relation")).applyInArrow(_least_before_loops, "relation string, id string")
+            return Stored(result, "cycles").df
         out = F.struct(F.col("source").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.col("target").alias("next"))
         into = F.struct(F.col("target").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(None).cast("string").alias("next"))
         degree = e.select("relation", F.explode(F.array(out, into)).alias("x")).groupBy("relation", "x.id").agg(F.sum("x.out").alias("out"), F.sum("x.into").alias("into"), F.max("x.next").alias("next"))

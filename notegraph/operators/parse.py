@@ -8,8 +8,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from ..errors import ParseError
 from ..functions import text as X
@@ -18,7 +21,7 @@ from ..functions.canonical import canonical, json_type, loose, text_hash
 from ..functions.targets import clean_target, relative_target
 from ..schemas import LINKS, PROP
 
-_PARSED = f"path string, source_hash string, body string, properties_json string, properties_text string, fm_tags array<string>, props array<struct<{PROP.replace(' string', ':string')}>>, error string"
+_PARSED = f"path string, source_hash string, body string, properties_json string, properties_text string, fm_tags array<string>, props array<struct<{PROP.replace(' string', ':string')}>>, error string, escaped boolean"
 
 
 def split_frontmatter(text: str) -> tuple[str | None, str]:
@@ -63,24 +66,31 @@ def _tags(properties: dict[str, Any]) -> list[str]:
 
 
 def parse_files(files: DataFrame, legacy_colons: bool = False) -> DataFrame:
-    """One row per readable file: the columns of a node but for its kind, props, link texts, and the error if it can't be parsed.
-    Contents are read once: the hash is taken where they're parsed."""
+    """One row per file: the columns of a node but for its kind, props, link texts, the error if it can't be parsed, and whether
+    it lies outside (``escaped``, if ``files`` tells), when it isn't parsed. Contents are read once: the hash is taken where they're parsed."""
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    schema = to_arrow_schema(DataType.fromDDL(_PARSED))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for path, data in zip(f["path"], f["content"]):
-                source_hash = None if data is None else text_hash(bytes(data))
+            for path, data, escaped in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if escaped:
+                    rows.append((path, *[None] * 7, True))
+                    continue
+                source_hash = None if data is None else text_hash(data)
                 try:
                     if data is None:
                         raise ParseError("file can't be read")
-                    properties, body = parse_bytes(bytes(data), legacy_colons)
-                    rows.append((path, source_hash, body, canonical(properties), json.dumps(properties, ensure_ascii=False), _tags(properties), props_of(properties), None))
+                    properties, body = parse_bytes(data, legacy_colons)
+                    rows.append((path, source_hash, body, canonical(properties), json.dumps(properties, ensure_ascii=False), _tags(properties), props_of(properties), None, False))
                 except ParseError as e:
-                    rows.append((path, source_hash, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "source_hash", "body", "properties_json", "properties_text", "fm_tags", "props", "error"], dtype=object)
+                    rows.append((path, source_hash, None, None, None, None, None, str(e), False))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    return _shaped(files.select("path", "content").mapInPandas(parse, _PARSED))
+    outside = "escaped" if "escaped" in files.columns else F.lit(False)
+    return _shaped(files.select("path", "content", outside).mapInArrow(parse, _PARSED))
 
 
 def _shaped(parsed: DataFrame) -> DataFrame:
@@ -88,7 +98,7 @@ def _shaped(parsed: DataFrame) -> DataFrame:
     rows = parsed.withColumn("id", F.regexp_replace("path", r"\.md\z", "")).withColumn("stem", stem).withColumn("mask", X.masked(F.col("body")))
     return rows.select(
         "id", "path", X.title(F.col("body"), F.col("stem")).alias("title"), "stem", "properties_json", "properties_text", X.all_tags(F.col("fm_tags"), F.col("mask")).alias("tags"), X.headings(F.col("body")).alias("headings"), "source_hash", "body", "props",
-        X.wikilinks(F.col("mask")).alias("wikilinks"), X.markdown_links(F.col("mask")).alias("markdown_links"), "error",
+        X.wikilinks(F.col("mask")).alias("wikilinks"), X.markdown_links(F.col("mask")).alias("markdown_links"), "error", "escaped",
     )
 
 

@@ -68,7 +68,7 @@ def _exploded(nodes: DataFrame, checks: list[Column]) -> DataFrame:
 
 
 def relation_values(nodes: DataFrame, manifest: Manifest) -> tuple[DataFrame | None, DataFrame]:
-    """(id, relation, field, pos, raw) of well-formed relations, and the issues of the others."""
+    """(id, relation, field, pos, raw) of well-formed relations, and the issues of the others; nodes are read once for each."""
     values, checks = [], []
     for name, spec in sorted(manifest.relations.items()):
         field, many = spec["field"], spec["cardinality"] == "0..*"
@@ -79,49 +79,56 @@ def relation_values(nodes: DataFrame, manifest: Manifest) -> tuple[DataFrame | N
         texts = F.forall(F.from_json(json, "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING") if many else kind == "string"
         checks.append(F.when(kind.isNotNull() & ~right, issue("error", "relation.cardinality", f"relation '{name}' expects {'a list' if many else 'one value'} in '{field}'")))
         checks.append(F.when(right & ~F.coalesce(texts, F.lit(False)), issue("error", "relation.target-type", f"relation '{name}' has a target that isn't a string")))
-        values.append(nodes.where(right & texts).select("id", F.lit(name).alias("relation"), F.lit(field).alias("field"), F.posexplode(as_list).alias("pos", "raw")))
-    union = reduce(lambda a, b: a.unionByName(b), values) if values else None
-    return union, _exploded(nodes, checks)
-
-
-def assemble(nodes: DataFrame, manifest: Manifest) -> tuple[DataFrame, DataFrame]:
-    """Edges and issues of classified nodes (with props and link texts)."""
-    ids = nodes.select("id")
-    raw, issues = relation_values(nodes, manifest)
-    links = clean_links(body_links(nodes))
-    body = graph.resolve(links, ids).select(F.col("id").alias("source"), F.lit("link").alias("relation"), "target", F.col("syntax").alias("provenance"), F.lit(None).cast("string").alias("source_location"), "resolved")
-    edges = body
+        told = lambda v, i: F.struct(F.lit(name).alias("relation"), F.lit(field).alias("field"), i.alias("pos"), v.alias("raw"))  # noqa: E731, B023
+        values.append(F.when(right & texts, F.transform(as_list, told)))
+    found = nodes.select("id", F.explode(F.flatten(F.array_compact(F.array(*values)))).alias("v")).select("id", "v.*") if values else None
+    return found, _exploded(nodes, checks)
+
+
+def note_issues(nodes: DataFrame, manifest: Manifest) -> DataFrame:
+    """What is wrong with the fields and relations of a note, whatever they lead to."""
+    return relation_values(nodes, manifest)[1].unionByName(field_issues(nodes.where(F.col("kind") != INVALID_KIND), manifest))
+
+
+def edges_of(nodes: DataFrame, manifest: Manifest) -> DataFrame:
+    """Edges of classified nodes (with props and link texts): those of bodies and relations are cleaned and resolved together."""
+    links = body_links(nodes)
+    listed = sorted(manifest.relations)
+    raw, _ = relation_values(nodes, manifest)
+    stride = 1_000_000
     if raw is not None:
-        # position encodes relation and place, so that the cleaned rows can be told apart
-        listed = sorted(manifest.relations)
-        stride = 1_000_000
-        coded = raw.withColumn("pos", (F.array_position(F.lit(listed), F.col("relation")) * stride + F.col("pos")).cast("int")).withColumn("syntax", F.lit("frontmatter"))
-        cleaned = clean_links(coded).withColumn("relation", F.element_at(F.lit(listed), F.floor(F.col("pos") / stride).cast("int")))
-        field = F.element_at(F.lit([manifest.relations[r]["field"] for r in listed]), F.floor(F.col("pos") / stride).cast("int"))
-        typed = graph.resolve(cleaned.withColumn("field", field), ids).select(F.col("id").alias("source"), "relation", "target", F.concat_ws(":", F.lit("frontmatter"), "field", "syntax").alias("provenance"), F.concat(F.lit("frontmatter."), F.col("field")).alias("source_location"), "resolved")
-        edges = edges.unionByName(typed)
-    edges = graph.positioned(edges)
-    issues = issues.unionByName(field_issues(nodes.where(F.col("kind") != INVALID_KIND), manifest)).unionByName(edge_issues(nodes, edges, manifest))
-    return edges, issues
+        # a position below zero encodes relation and place, so that the cleaned rows can be told apart
+        coded = -(F.array_position(F.lit(listed), F.col("relation")) * stride + F.col("pos"))
+        links = links.unionByName(raw.select("id", coded.cast("int").alias("pos"), "raw", F.lit("frontmatter").alias("syntax")))
+    found = graph.resolve(clean_links(links), nodes.select("id"))
+    place = F.floor(-F.col("pos") / stride).cast("int") - 1
+    of = lambda values: F.get(F.lit(values) if values else F.array().cast("array<string>"), F.when(F.col("pos") < 0, place))
+    field = of([manifest.relations[r]["field"] for r in listed])
+    edges = found.select(
+        F.col("id").alias("source"), F.coalesce(of(listed), F.lit("link")).alias("relation"), "target",
+        F.when(field.isNull(), F.col("syntax")).otherwise(F.concat_ws(":", F.lit("frontmatter"), field, "syntax")).alias("provenance"), F.concat(F.lit("frontmatter."), field).alias("source_location"), "resolved",
+    )
+    return graph.positioned(edges)
 
 
 def edge_issues(nodes: DataFrame, edges: DataFrame, manifest: Manifest) -> DataFrame:
-    """Unresolved and wrongly typed targets, and loops in acyclic relations."""
-    meta = nodes.select(F.col("id").alias("source"), "path")
-    typed, links = edges.where(F.col("source_location").isNotNull()), edges.where(F.col("source_location").isNull())
-    missing = typed.where(~F.col("resolved")).join(meta, "source").select(issue("error", "relation.unresolved", F.concat(F.lit("relation '"), F.col("relation"), F.lit("' has no target '"), F.col("target"), F.lit("'"))).alias("i"))
-    loose_links = links.where(~F.col("resolved")).join(meta, "source").select(issue("warning", "link.unresolved", F.concat(F.lit("link target '"), F.col("target"), F.lit("' doesn't exist"))).alias("i"))
-    out = missing.unionByName(loose_links)
+    """Unresolved and wrongly typed targets, and loops in acyclic relations. ``edges`` is read several times."""
+    told = lambda level, code, *message: F.struct("source", F.lit(level).alias("level"), F.lit(code).alias("code"), F.concat(*(F.lit(m) if isinstance(m, str) else m for m in message)).alias("message")).alias("i")
+    typed = F.col("source_location").isNotNull()
+    missing = F.when(typed, told("error", "relation.unresolved", "relation '", F.col("relation"), "' has no target '", F.col("target"), "'"))
+    missing = missing.otherwise(told("warning", "link.unresolved", "link target '", F.col("target"), "' doesn't exist"))
+    found = edges.where(~F.col("resolved")).select(missing.alias("i"))
     if manifest.relations:
         allowed = F.create_map(*[x for r, spec in sorted(manifest.relations.items()) for x in (F.lit(r), F.lit(spec["targetKinds"]))])
         kinds = nodes.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))
-        wrong = typed.where("resolved").join(kinds, "target").where(~F.array_contains(F.element_at(allowed, F.col("relation")), F.col("target_kind"))).join(meta, "source")
-        out = out.unionByName(wrong.select(issue("error", "relation.target-kind", F.concat(F.lit("relation '"), F.col("relation"), F.lit("' doesn't allow kind '"), F.col("target_kind"), F.lit("'"))).alias("i")))
+        wrong = edges.where(typed & F.col("resolved")).join(kinds, "target").where(~F.array_contains(F.element_at(allowed, F.col("relation")), F.col("target_kind")))
+        found = found.unionByName(wrong.select(told("error", "relation.target-kind", "relation '", F.col("relation"), "' doesn't allow kind '", F.col("target_kind"), "'")))
+    out = found.select("i.*").join(nodes.select(F.col("id").alias("source"), "path"), "source").select("level", "code", "message", "path")
     acyclic = [r for r, spec in sorted(manifest.relations.items()) if spec.get("acyclic")]
     if acyclic:
-        loops = graph.cycles(typed.where(F.col("resolved") & F.col("relation").isin(acyclic)))
-        out = out.unionByName(loops.join(nodes.select("id", "path"), "id").select(issue("error", "relation.cycle", F.concat(F.lit("acyclic relation '"), F.col("relation"), F.lit("' has a cycle"))).alias("i")))
-    return out.select("i.*")
+        loops = graph.cycles(edges.where(typed & F.col("resolved") & F.col("relation").isin(acyclic)))
+        out = out.unionByName(loops.join(nodes.select("id", "path"), "id").select(issue("error", "relation.cycle", F.concat(F.lit("acyclic relation '"), F.col("relation"), F.lit("' has a cycle"))).alias("i")).select("i.*"))
+    return out
 
 
 def ordered_issues(issues: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ..manifest import Manifest, load_manifest
 from ..operators import graph, merge, mutate, search
 from ..operators.current import latest
 from ..scan import ScanResult, scan
-from ..session import Stored, read_table, shared_dir
+from ..session import Stored, parts_of, read_table, shared_dir, shuffles_dropped
 from ..sources import store
 from ..sources.vault import read_files
 
@@ -52,16 +52,21 @@ def write_vault(spark: SparkSession, notes: DataFrame, manifest: dict) -> Manife
     at = str(root)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
-                os.makedirs(os.path.dirname(os.path.join(at, path)), exist_ok=True)
+                folder = os.path.dirname(os.path.join(at, path))
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 beside = os.path.join(at, f"{path}.{uuid.uuid4().hex}.tmp")
                 with open(beside, "wb") as out:
                     out.write(bytes(content))
                 os.replace(beside, os.path.join(at, path))
             yield pd.DataFrame({"n": [len(f)]})
 
-    notes.select("path", "content").mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    with shuffles_dropped(spark):
+        notes.select("path", "content").mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
     return load_manifest(root)
 
 
@@ -74,12 +79,16 @@ def node_notes(s: SparkSession, d: str, body: bool) -> DataFrame:
     Edges of the frontmatter stand in the property of their relation, as wikilink, Markdown link or plain id, whatever
     their provenance says; other edges stand in the body.
     """
-    nodes = latest(T(s, d, "nodes"), "path", "indexed_at", "source_hash", "id", "properties_json", "body").where("id is not null")
+    shown = ("id", "properties_json", "body") if body else ("id", "properties_json")
+    nodes = latest(T(s, d, "nodes"), "path", "indexed_at", "source_hash", *shown).where("id is not null")
     e = T(s, d, "edges").where("src is not null and dst is not null").select("src", "dst", "field", "provenance").distinct()
     how = F.element_at(F.split("provenance", ":"), -1)
     written = F.when(how == "wikilink", F.concat(F.lit("[["), F.col("dst"), F.lit("|seen from here]]"))).when(how == "markdown", F.concat(F.lit("[a note]("), F.col("dst"), F.lit(".md#top)"))).otherwise(F.col("dst"))
     lists = e.groupBy("src").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.when(F.col("provenance").startswith("frontmatter"), F.col("field")), F.lit("")).alias("field"), written.alias("text")))).alias("links"))
-    rows = nodes.join(lists, nodes["id"] == lists["src"], "left") if not body else nodes.withColumn("links", F.lit(None).cast("array<struct<field:string,text:string>>"))
+    if body:
+        rows = nodes.withColumn("links", F.lit(None).cast("array<struct<field:string,text:string>>"))
+    else:
+        rows = nodes.join(lists, nodes["id"] == lists["src"], "left").withColumn("body", F.lit(None).cast("string")).repartition(parts_of(s), "path")
 
     def render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -102,13 +111,20 @@ def node_notes(s: SparkSession, d: str, body: bool) -> DataFrame:
     return rows.select("path", "properties_json", "body", "links").mapInPandas(render, "path string, content binary")
 
 
+def scanned(s: SparkSession, manifest: Manifest) -> ScanResult:
+    """A scan of a collection that was made for it alone: the scan keeps what it read, so the files go."""
+    result = scan(s, manifest)
+    shutil.rmtree(manifest.root.parent)
+    return result
+
+
 def node_scan(s: SparkSession, d: str) -> ScanResult:
-    return scan(s, write_vault(s, node_notes(s, d, True), {"nodeKinds": KINDS | {"document": {"selectors": [{"tag": "no such tag"}]}}}))
+    return scanned(s, write_vault(s, node_notes(s, d, True), {"nodeKinds": KINDS | {"document": {"selectors": [{"tag": "no such tag"}]}}}))
 
 
 def edge_scan(s: SparkSession, d: str) -> ScanResult:
     kinds = {"task": {"selectors": [{"path": "tickets/**"}]}, "decision": {"selectors": [{"path": "notes/archive/**"}]}, "meeting": {"selectors": [{"path": "notes/meetings/*.md"}]}, "glossary": {"selectors": [{"path": "notes/reference/**"}]}, "document": {"selectors": [{"tag": "no such tag"}]}}
-    return scan(s, write_vault(s, node_notes(s, d, False), {"nodeKinds": kinds, "relations": RELATIONS}))
+    return scanned(s, write_vault(s, node_notes(s, d, False), {"nodeKinds": kinds, "relations": RELATIONS}))
 
 
 def scan_nodes(s: SparkSession, d: str) -> DataFrame:

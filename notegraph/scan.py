@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,21 @@ from .sources.vault import read_files
 NODE_COLUMNS = ["id", "path", "kind", "title", "stem", "properties_json", "properties_text", "tags", "headings", "source_hash", "body", "props", "wikilinks", "markdown_links"]
 
 
-@dataclass
 class ScanResult:
-    """Lazy tables of one scan. ``nodes`` has the columns of ``NODE_COLUMNS``."""
+    """Lazy tables of one scan. ``nodes`` has the columns of ``NODE_COLUMNS``. ``edges`` and ``issues`` are given as tables or as
+    functions, which make them when they're first asked for; ``note_issues`` are those that a note has by itself."""
 
-    manifest: Manifest
-    nodes: DataFrame
-    edges: DataFrame
-    issues: DataFrame
-    files: DataFrame = field(repr=False, default=None)
+    def __init__(self, manifest: Manifest, nodes: DataFrame, edges: DataFrame | Callable[[], DataFrame], issues: DataFrame | Callable[[], DataFrame], files: DataFrame | None = None, note_issues: DataFrame | None = None):
+        self.manifest, self.nodes, self.files, self.note_issues = manifest, nodes, files, note_issues
+        self._edges, self._issues = edges, issues
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._edges() if callable(self._edges) else self._edges
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return self._issues() if callable(self._issues) else self._issues
 
     def summary(self) -> DataFrame:
         return validate.summary(self.nodes, self.edges, self.issues)
@@ -77,19 +84,20 @@ def check_note_path(manifest: Manifest, path: str) -> None:
 
 
 def nodes_of(files: DataFrame, manifest: Manifest) -> tuple[DataFrame, DataFrame]:
-    """Classified nodes (stored, as parsing is Python work) and the issues of single files."""
-    inside = files.where("not escaped")
-    parsed = stored(parse_files(inside, manifest.legacy_colons), "parsed")
-    classified = validate.classify(parsed.where("error is null"), manifest)
-    escaped = files.where("escaped").select(validate.issue("error", "path.escape", "file lies outside of the collection").alias("i"))
+    """Classified nodes (stored, as parsing is Python work) and the issues of single files; ``files`` is read once, and not later on."""
+    parsed = stored(parse_files(files, manifest.legacy_colons), "parsed")
+    classified = validate.classify(parsed.where("error is null and not escaped"), manifest)
+    escaped = parsed.where("escaped").select(validate.issue("error", "path.escape", "file lies outside of the collection").alias("i"))
     broken = parsed.where("error is not null").select(validate.issue("error", "markdown.parse", F.col("error")).alias("i"))
     kinds = classified.select(F.explode("found_issues").alias("i"))
     return classified.select(*NODE_COLUMNS), escaped.unionByName(broken).unionByName(kinds).select("i.*")
 
 
 def assemble(manifest: Manifest, nodes: DataFrame, issues: DataFrame, files: DataFrame | None = None) -> ScanResult:
-    edges, more = validate.assemble(nodes, manifest)
-    return ScanResult(manifest, nodes, stored(edges, "edges"), issues.unionByName(more), files)
+    own = issues.unionByName(validate.note_issues(nodes, manifest))
+    # links are checked on the stored edges, not on the joins that found them
+    result = ScanResult(manifest, nodes, lambda: stored(validate.edges_of(nodes, manifest), "edges"), lambda: own.unionByName(validate.edge_issues(nodes, result.edges, manifest)), files, own)
+    return result
 
 
 def scan(spark: SparkSession, root: str | Path | Manifest, updates: dict[str, bytes] | None = None, creates: dict[str, bytes] | None = None) -> ScanResult:

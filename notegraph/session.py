@@ -84,6 +84,18 @@ def _release_all() -> None:
 atexit.register(_release_all)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What runs within deletes its shuffle files at its end: for queries that are run once, as their result is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Stored:
     """A table written to the shared folder; ``df`` reads it, ``drop()`` deletes it. Tables that nobody drops go with the
     process, or with ``release`` and ``scratch``."""
@@ -92,7 +104,8 @@ class Stored:
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _live[self.path] = spark
-        df.write.parquet(self.path)
+        with shuffles_dropped(spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -106,5 +119,10 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return Stored(df, name).df
 
 
+def parts_of(spark: SparkSession) -> int:
+    """Partitions for work in Python: rows that are small, but costly each, would be put together in few tasks by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,6 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +29,7 @@ from ..manifest import Manifest
 from ..operators import index, search
 from ..scan import ScanResult, assemble, nodes_of, scan
 from ..schemas import FILES
-from .vault import read_files
+from .vault import read_contents, read_files
 
 SCHEMA_VERSION = "2"
 BUCKETED, WHOLE = ("nodes", "file_issues", "postings"), ("files", "edges", "issues")
@@ -59,22 +58,6 @@ def meta_of(manifest: Manifest) -> dict[str, str]:
     return {"schema": SCHEMA_VERSION, "engine": __version__, "manifest": manifest.digest, "vaultId": manifest.vault_id}
 
 
-def read_contents(listed: DataFrame, root: str) -> DataFrame:
-    """``FILES`` rows of a listing with their contents, read where the rows are."""
-
-    def run(frames):
-        for f in frames:
-            data = []
-            for path, escaped in zip(f["path"], f["escaped"]):
-                try:
-                    data.append(None if escaped else Path(root, path).read_bytes())
-                except OSError:
-                    data.append(None)
-            yield f.assign(content=pd.Series(data, index=f.index, dtype=object))
-
-    return listed.select("path", "mtime_ns", "size", "escaped").mapInPandas(run, FILES)
-
-
 @dataclass
 class Index:
     manifest: Manifest

@@ -1,7 +1,8 @@
 """A folder of notes as a Spark data source: all files, dot-folders too, with exact nanosecond times.
 
-Options: ``root``, ``ignore`` (JSON list of globs), ``content`` (``false`` for stats only), ``chunk`` (files per
-partition), ``folders`` (from how many open folders on the walk goes on in tasks). A folder is skipped as a whole if a pattern ignores all of it.
+Options: ``root``, ``ignore`` (JSON list of globs), ``content`` (``false`` for stats only), ``chunk`` (files, or at most so
+many folders, per partition), ``folders`` (from how many open folders on the walk goes on in tasks, an eighth as many at least).
+A folder is skipped as a whole if a pattern ignores all of it.
 """
 
 from __future__ import annotations
@@ -10,12 +11,17 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.globs import path_matches
 from ..manifest import Manifest
 from ..schemas import FILES
+from ..session import parts_of
+
+#: About as much of contents is read before it's passed on.
+BATCH_BYTES = 32_000_000
 
 
 def walk(root: str, ignore: list[str], folders: list[str], most: int | None = None) -> tuple[list[str], list[str]]:
@@ -62,7 +68,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         paths, below = walk(self.root, self.ignore, [""], self.folders)
         paths.sort()
-        return [_Chunk(paths[i : i + self.chunk], []) for i in range(0, len(paths), self.chunk)] + [_Chunk([], [f]) for f in below] or [_Chunk([], [])]
+        # not a partition a folder: a collection may have a folder for each note
+        n = min(len(below), max(self.folders // 8, -(-len(below) // self.chunk)))
+        return [_Chunk(paths[i : i + self.chunk], []) for i in range(0, len(paths), self.chunk)] + [_Chunk([], below[i::n]) for i in range(n)] or [_Chunk([], [])]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
         for path in sorted([*partition.paths, *(walk(self.root, self.ignore, partition.folders)[0] if partition.folders else [])]):
@@ -96,6 +104,33 @@ class VaultSource(DataSource):
         return _Reader(dict(self.options))
 
 
+def read_contents(listed: DataFrame, root: str) -> DataFrame:
+    """``FILES`` rows of a listing with their contents, read where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, size, begun = [], 0, 0
+            for i, (path, escaped) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                content = None
+                if not escaped:
+                    try:
+                        with open(os.path.join(root, path), "rb") as f:
+                            content = f.read()
+                    except OSError:
+                        pass
+                data.append(content)
+                size += len(content or b"")
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(begun, len(data))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "content"])
+                    data, size, begun = [], 0, i + 1
+
+    return listed.select("path", "mtime_ns", "size", "escaped").mapInArrow(run, FILES)
+
+
 def read_files(spark: SparkSession, manifest: Manifest, content: bool = True) -> DataFrame:
+    """The files, with their contents unless ``content`` is false. Contents are read by tasks of equal numbers of files, however
+    these are spread over folders: paths are shuffled, contents aren't."""
     spark.dataSource.register(VaultSource)
-    return spark.read.format("notes").option("root", str(manifest.root)).option("ignore", json.dumps(manifest.ignores)).option("content", "true" if content else "false").load()
+    listed = spark.read.format("notes").option("root", str(manifest.root)).option("ignore", json.dumps(manifest.ignores)).option("content", "false").load()
+    return read_contents(listed.repartition(parts_of(spark), "path"), str(manifest.root)) if content else listed

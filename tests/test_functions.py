@@ -5,12 +5,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from notegraph.errors import ManifestError, ParseError
-from notegraph.functions import yaml12
+from notegraph.functions import targets, yaml12
 from notegraph.functions.canonical import canonical, digest, loose
 from notegraph.functions.globs import path_matches, tail_regex
 from notegraph.functions.stem import english, russian, stem
 from notegraph.functions.targets import clean_target, relative_target
 from notegraph.manifest import check_manifest, load_manifest
+from notegraph.operators import mutate
 from notegraph.operators.parse import parse_bytes, split_frontmatter
 from tests.conftest import base_manifest
 
@@ -100,3 +101,30 @@ def test_manifest_problems(make_vault):
     assert load_manifest(root).vault_id == "test-vault"
     with pytest.raises(ManifestError):
         load_manifest(root / "notes")
+
+
+def test_common_forms_need_no_parser(monkeypatch):
+    """Frontmatter, properties and targets of the commonest forms come out as from the whole parser, without it."""
+    import yaml
+
+    values = ["open", "a b", "x/y-1.z", "2024-01-02", "[[x/y|seen from here]]", "[a note](b.md#top)", 7, -3, ["a", "[[b]]", 5], []]
+    odd = ["yes", "No", "y", "null", "True", "a: b", "a #b", " a", "a ", "1_000", "12:30", "'", "é", "", True, None, 2.5, [None, "a,b"], {"k": 1}, "x" * 2000]
+    slow = lambda v: yaml.safe_dump({"k": v}, allow_unicode=True, sort_keys=False, default_flow_style=None if isinstance(v, (list, dict)) else False, width=1_000_000)
+    dumped = {repr(v): slow(v) for v in values + odd}
+    assert all(mutate._dump("k", v) == dumped[repr(v)] for v in values + odd)
+    assert mutate._dump("yes", "a") == "'yes': a\n"
+    heads = [*dumped.values(), "k: it''s\n", "k: 'it''s'\n", "k: TRUE\nm: ~\n", "k: 1\nk: 2\n", "true: 1\n", "k: 007\n", "k: 1.50\n", "k: a  b\n", "k: a\n b\n", "k: a\r\n", "k: [a, null]\n", "k: a", "k: 0x1\n", "k: 2024-01-02\n"]
+    for head in heads:
+        try:
+            want = repr(yaml12.plain(yaml12.load(head)))
+        except ParseError:
+            want = None
+        got = yaml12._simple_mapping(head)
+        assert got is None or repr(got) == want
+    monkeypatch.setattr(yaml, "load", None)
+    monkeypatch.setattr(yaml, "safe_dump", None)
+    for v in values:
+        assert mutate._dump("k", v) == dumped[repr(v)] and yaml12.load_mapping(dumped[repr(v)]) == {"k": v}
+    monkeypatch.setattr(targets, "urlsplit", None)
+    assert targets.clean_target("a/b-1.md", "markdown") == ("a/b-1", "markdown", False) and targets.clean_target("[[b|x]]", "frontmatter") == ("b", "wikilink", False)
+    assert targets.relative_target("x/y/z", "a/b") == "x/y/a/b" and targets.relative_target("z", "b") == "b"

@@ -345,3 +345,47 @@ def test_command_line(spark, make_vault, tmp_path, capsys):
     assert run("index", "status")[1]["pending"] == {"changed": 0, "removed": 0} and run("doctor")[1]["index"]["exists"]
     code, error = run("read", "nothing")
     assert code == 2 and error["schemaVersion"] == "notegraph.error/v1"
+
+
+def test_a_folder_for_each_note_is_not_a_task_for_each(spark, make_vault):
+    """Partitions are bounded by the number of files, not of folders."""
+    manifest = load_manifest(make_vault({f"tickets/t{i:04}/n.md": f"text {i}" for i in range(600)}))
+    assert read_files(spark, manifest, content=False).rdd.getNumPartitions() <= 40
+    got = read_files(spark, manifest)
+    assert got.rdd.getNumPartitions() == 2 and {r.path: bytes(r.content) for r in got.collect()} == {f"tickets/t{i:04}/n.md": b"text %d" % i for i in range(600)}
+
+
+def test_contents_with_exact_times_in_small_batches(spark, make_vault, monkeypatch):
+    """A file without a time doesn't round those of others, and a batch holds a bounded part of the contents."""
+    monkeypatch.setattr("notegraph.sources.vault.BATCH_BYTES", 5)
+    root = make_vault({f"notes/{i}.md": "x" * i for i in range(9)})
+    for i in range(9):
+        os.utime(root / f"notes/{i}.md", ns=(0, 1_700_000_000_123_456_780 + i))
+    os.symlink("nowhere", root / "notes" / "lost.md")
+    rows = {r.path: r for r in read_files(spark, load_manifest(root)).collect()}
+    assert rows["notes/lost.md"].mtime_ns is None and rows["notes/lost.md"].content is None
+    assert [(rows[f"notes/{i}.md"].mtime_ns, bytes(rows[f"notes/{i}.md"].content)) for i in range(9)] == [(1_700_000_000_123_456_780 + i, b"x" * i) for i in range(9)]
+
+
+def test_scan_makes_only_what_is_asked_for(spark, make_vault, monkeypatch):
+    """Nodes need no links, edges no search for loops; both are found from one lookup of all links."""
+    calls = []
+    for name in ("cycles", "resolve"):
+        monkeypatch.setattr(graph, name, lambda *a, name=name, real=getattr(graph, name): (calls.append(name), real(*a))[1])
+    relations = {"parent": {"field": "parent", "cardinality": "0..1", "targetKinds": ["document"], "acyclic": True}}
+    result = scan(spark, make_vault({"notes/a.md": "---\nparent: a\ntags: t\n---\n[[b]]", "notes/b.md": "---\nparent: [a]\n---\n"}, relations=relations))
+    assert result.nodes.count() == 2 and {r.code for r in result.note_issues.collect()} == {"field.type", "relation.cardinality"} and calls == []
+    assert edge_set(result) == {("notes/a", "parent", "notes/a", "frontmatter:parent:frontmatter", True), ("notes/a", "link", "notes/b", "wikilink", True)} and calls == ["resolve"]
+    assert codes(result) == [("field.type", "notes/a.md"), ("relation.cardinality", "notes/b.md"), ("relation.cycle", "notes/a.md")] and calls == ["resolve", "cycles"]
+
+
+def test_cycles_end_in_one_task(spark, monkeypatch):
+    """Rounds over the whole graph end when the rest fits in a task, with the same result as rounds to the end."""
+    rows = [("a", f"c{i:03}", f"c{i + 1:03}") for i in range(50)] + [("a", "c050", "c048"), ("b", "x", "y"), ("c", "z", "z"), ("c", "a", "z"), ("c", "z", "q"), ("a", None, "c000")]
+    df = spark.createDataFrame(rows, "relation string, source string, target string")
+    rounds = []
+    monkeypatch.setattr(graph, "Observation", lambda real=graph.Observation: (rounds.append(1), real())[1])
+    for room, least in ((10**6, 0), (20, 1), (0, 2)):
+        rounds.clear()
+        assert {(r.relation, r.id) for r in graph.cycles(df, room=room).collect()} == {("a", "c000"), ("c", "a")}
+        assert len(rounds) >= least and (room < 10**6 or not rounds)
