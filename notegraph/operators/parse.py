@@ -128,10 +128,12 @@ def prop(name: str, part: str = "value_json") -> Column:
 def clean_links(raw: DataFrame) -> DataFrame:
     """``LINKS`` of rows (id, pos, raw, syntax) whose target lies within the collection."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    schema = to_arrow_schema(DataType.fromDDL(LINKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for id_, pos, text, syntax in zip(f["id"], f["pos"], f["raw"], f["syntax"]):
+            for id_, pos, text, syntax in zip(*(c.to_pylist() for c in b.columns)):
                 got = clean_target(text, syntax)
                 if got is None:
                     continue
@@ -139,10 +141,10 @@ def clean_links(raw: DataFrame) -> DataFrame:
                 if got[1] == "markdown" and relative is None:
                     continue
                 rows.append((id_, pos, text, got[1], posixpath.normpath(got[0]), relative, got[2]))
-            out = pd.DataFrame(rows, columns=["id", "pos", "raw", "syntax", "clean_target", "relative_target", "foreign"], dtype=object)
-            yield out.astype({"pos": "int32", "foreign": bool}) if rows else out
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    return raw.select("id", "pos", "raw", "syntax").mapInPandas(run, LINKS)
+    return raw.select("id", "pos", "raw", "syntax").mapInArrow(run, LINKS)
 
 
 def body_links(parsed: DataFrame) -> DataFrame:

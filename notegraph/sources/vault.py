@@ -73,10 +73,14 @@ class _Reader(DataSourceReader):
         return [_Chunk(paths[i : i + self.chunk], []) for i in range(0, len(paths), self.chunk)] + [_Chunk([], below[i::n]) for i in range(n)] or [_Chunk([], [])]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
+        folder, base = None, ""
         for path in sorted([*partition.paths, *(walk(self.root, self.ignore, partition.folders)[0] if partition.folders else [])]):
             full = os.path.join(self.root, path)
-            real = os.path.realpath(full)
-            escaped = os.path.commonpath([self.root, real]) != self.root
+            head, name = os.path.split(path)
+            if head != folder:  # one look at the links on the way for all files of a folder
+                folder, base = head, os.path.realpath(os.path.join(self.root, head))
+            real = os.path.realpath(full) if os.path.islink(full) else os.path.join(base, name)
+            escaped = real != self.root and not real.startswith(self.root.rstrip("/") + "/")
             try:
                 stat = os.stat(full)
                 mtime, size = stat.st_mtime_ns, stat.st_size

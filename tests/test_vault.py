@@ -389,3 +389,19 @@ def test_cycles_end_in_one_task(spark, monkeypatch):
         rounds.clear()
         assert {(r.relation, r.id) for r in graph.cycles(df, room=room).collect()} == {("a", "c000"), ("c", "a")}
         assert len(rounds) >= least and (room < 10**6 or not rounds)
+
+
+def test_listing_looks_at_links_once_a_folder(spark, make_vault, tmp_path, monkeypatch):
+    """Files behind a linked root or a link to a note are judged as before; links on the way aren't looked up again for each file."""
+    from notegraph.sources.vault import _Chunk, _Reader
+
+    root = make_vault({f"a/{i}.md": "x" for i in range(50)} | {"b.md": "y"})
+    (tmp_path / "out.md").write_text("z")
+    os.symlink(tmp_path / "out.md", root / "a" / "out.md")
+    os.symlink(root / "b.md", root / "a" / "in.md")
+    os.symlink(root, tmp_path / "alias")
+    reader, calls = _Reader({"root": str(tmp_path / "alias")}), []
+    monkeypatch.setattr(os.path, "realpath", lambda p, real=os.path.realpath: (calls.append(p), real(p))[1])
+    rows = {path: (escaped, data) for path, _, _, escaped, data in reader.read(_Chunk([], [""]))}
+    assert len(rows) == 53 and rows["a/out.md"] == (True, None) and rows["a/in.md"] == (False, b"y") and rows["a/7.md"] == (False, b"x")
+    assert len(calls) <= 5
