@@ -405,3 +405,12 @@ def test_listing_looks_at_links_once_a_folder(spark, make_vault, tmp_path, monke
     rows = {path: (escaped, data) for path, _, _, escaped, data in reader.read(_Chunk([], [""]))}
     assert len(rows) == 53 and rows["a/out.md"] == (True, None) and rows["a/in.md"] == (False, b"y") and rows["a/7.md"] == (False, b"x")
     assert len(calls) <= 5
+
+
+def test_issues_are_read_off_the_stored_edges(spark, make_vault):
+    """Issues join what was found with nodes; they don't look links up again."""
+    relations = {"parent": {"field": "parent", "cardinality": "0..1", "targetKinds": ["task"]}}
+    result = scan(spark, make_vault({"notes/a.md": "---\nparent: a\n---\n[[b]] [[c]]", "notes/b.md": "---\nparent: x\n---\n"}, nodeKinds={"document": {"selectors": [{"path": "notes/**"}]}, "task": {"selectors": [{"path": "tasks/**"}]}}, relations=relations))
+    plan = result.issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "MapIn" not in plan and "Window" not in plan
+    assert codes(result) == [("link.unresolved", "notes/a.md"), ("relation.target-kind", "notes/a.md"), ("relation.unresolved", "notes/b.md")]
