@@ -133,7 +133,7 @@ def scan_nodes(s: SparkSession, d: str) -> DataFrame:
 
 
 def scan_field_issues(s: SparkSession, d: str) -> DataFrame:
-    return node_scan(s, d).issues.where("code like 'field.%' or code like 'node.%'").select("level", "code", "path")
+    return node_scan(s, d).note_issues.where("code like 'field.%' or code like 'node.%'").select("level", "code", "path")
 
 
 def scan_edges(s: SparkSession, d: str) -> DataFrame:

@@ -414,3 +414,14 @@ def test_issues_are_read_off_the_stored_edges(spark, make_vault):
     plan = result.issues._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and "MapIn" not in plan and "Window" not in plan
     assert codes(result) == [("link.unresolved", "notes/a.md"), ("relation.target-kind", "notes/a.md"), ("relation.unresolved", "notes/b.md")]
+
+
+def test_field_issues_look_up_no_links(spark, tmp_path, monkeypatch):
+    """Issues that a note has by itself are found without the links of any."""
+    from notegraph.plans import vaults
+
+    monkeypatch.setattr(graph, "resolve", None)
+    shared = {"id": "notes/a", "path": "notes/a.md", "source_hash": "h", "body": "[[b]]", "properties_json": '{"priority": "high"}', "indexed_at": datetime.datetime(2024, 1, 1)}
+    spark.createDataFrame([shared], "id string, path string, source_hash string, body string, properties_json string, indexed_at timestamp").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([], "src string, dst string, field string, provenance string").write.parquet(f"{tmp_path}/edges.parquet")
+    assert sorted((r.code, r.path) for r in vaults.scan_field_issues(spark, str(tmp_path)).collect()) == [("field.required", "notes/a.md"), ("field.type", "notes/a.md")]
